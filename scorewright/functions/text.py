@@ -53,5 +53,16 @@ def contains_ignore_case(text: Column, needle: str) -> Column:
 
 
 def one_decimal(value: Column) -> Column:
-    """Number as text with one decimal, e.g. ``64.3``."""
-    return F.format_string("%.1f", value)
+    """Number as text with one decimal, rounded by its exact binary value.
+
+    The built-in formatter rounds the shortest decimal form half up, which
+    shows 64.25 as 64.3. Here 10x is split into an exact sum (8x + 2x), so ties
+    are seen as they are and go to the even digit.
+    """
+    eight, two = value * 8.0, value * 2.0
+    tenths = eight + two
+    lost = two - (tenths - eight)
+    base = F.floor(tenths).cast("double")
+    over = tenths - base
+    up = (over > 0.5) | ((over == 0.5) & ((lost > 0) | ((lost == 0) & (base % 2 != 0))))
+    return F.format_string("%.1f", (base + up.cast("int")) / 10.0)
