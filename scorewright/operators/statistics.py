@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from scorewright.functions.numbers import round_even
 from scorewright.operators.ordering import average_ranks, exact_quantiles
@@ -193,7 +193,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     return value
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_test_p(t: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of |t| with n - 2 degrees of freedom; runs on result rows only."""
     return pd.Series([_two_sided_p(a, b - 2.0) for a, b in zip(t, n)], dtype="float64")

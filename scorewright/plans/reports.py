@@ -80,10 +80,11 @@ def top_entities(
     means = [roles.score, *([attendance] if attendance else [])]
     rolled = A.entity_rollup(records, entity, means, firsts, order=roles.order or records.columns)
     best = top_k(rolled, roles.score, k, [entity], alias="rnk")
-    shown_name = F.coalesce(F.col(roles.name), F.col(entity)) if roles.name in firsts else F.col(entity)
+    shown_id = F.col(entity).cast("string")
+    shown_name = F.coalesce(F.col(roles.name), shown_id) if roles.name in firsts else shown_id
     return best.select(
-        F.col(entity).cast("string").alias("student_id"),
-        shown_name.cast("string").alias("student_name"),
+        shown_id.alias("student_id"),
+        shown_name.alias("student_name"),
         (F.col(roles.group) if roles.group in firsts else F.lit("All")).alias("department"),
         round_even(F.col(roles.score), digits).alias("gpa"),
         (round_even(F.col(attendance), digits) if attendance else F.lit(0.0)).alias("attendance"),

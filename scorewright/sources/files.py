@@ -123,6 +123,11 @@ def _binary_files(spark: SparkSession, path: str) -> DataFrame:
 
 def list_sheets(spark: SparkSession, path: str) -> DataFrame:
     """One row per sheet of every workbook in a folder: file, position, sheet."""
+    return read_sheet_names(_binary_files(spark, path))
+
+
+def read_sheet_names(books: DataFrame) -> DataFrame:
+    """The same for workbooks given as (path, content) rows."""
 
     def read(batches):
         for files in batches:
@@ -131,15 +136,18 @@ def list_sheets(spark: SparkSession, path: str) -> DataFrame:
                     names = [sheet for sheet, _ in _sheet_parts(book)]
                 yield pd.DataFrame({"file": name, "position": range(len(names)), "sheet": names})
 
-    return _binary_files(spark, path).select("path", "content").mapInPandas(
-        read, "file string, position int, sheet string"
-    )
+    return books.select("path", "content").mapInPandas(read, "file string, position int, sheet string")
 
 
 def ingest_workbooks(
     spark: SparkSession, path: str, schema: T.StructType | str, *, sheet: str | int = 0
 ) -> DataFrame:
-    """Stack one sheet of every ``.xlsx`` in a folder into one table.
+    """Stack one sheet of every ``.xlsx`` in a folder into one table."""
+    return read_workbooks(_binary_files(spark, path), schema, sheet=sheet)
+
+
+def read_workbooks(books: DataFrame, schema: T.StructType | str, *, sheet: str | int = 0) -> DataFrame:
+    """One sheet of every workbook given as (path, content) rows.
 
     ``schema`` names the header cells to keep with their types. Adds ``file``,
     ``sheet`` and the 1-based ``row_number`` of the data row within its file.
@@ -172,7 +180,7 @@ def ingest_workbooks(
          T.StructField("row_number", T.LongType())]
         + [T.StructField(f, T.StringType()) for f in fields]
     )
-    texts = _binary_files(spark, path).select("path", "content").mapInPandas(read, as_text)
+    texts = books.select("path", "content").mapInPandas(read, as_text)
     return texts.select(
         "file", "sheet", "row_number",
         *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted.fields],
