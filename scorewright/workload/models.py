@@ -212,7 +212,7 @@ FEATURES_CTE = f"""
     {ORDER_RECORDS_CTE},
     rolled as (select student_id, {', '.join(f'avg({c}) as {c}' for c in [*ORDER_FEATURES, 'current_gpa'])},
                       first(department order by {_KEY}) as department from records group by student_id),
-    trends as (select student_id, performance_trend, count(*) as n from records group by all
+    trends as (select student_id, performance_trend, count(*) as n from records group by student_id, performance_trend
                qualify row_number() over (partition by student_id order by count(*) desc, performance_trend) = 1),
     features as (select student_id, {_FILLED}, current_gpa, department, performance_trend
                  from rolled left join trends using (student_id))
