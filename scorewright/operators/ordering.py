@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scorewright.session import materialise
 
-ROWS_PER_BUCKET = 200_000
+ROWS_PER_BUCKET = 1_000_000
 MAX_LEVELS = 16
 
 _BUCKET, _LOWER = "_bucket", "_lower"
@@ -36,7 +36,7 @@ def _cut_points(df: DataFrame, value: str, scale_by: str | None, levels: int) ->
     They only steer the balance of the buckets, never the result.
     """
     probabilities = [i / 2**levels for i in range(1, 2**levels)]
-    accuracy = max(10_000, 4 * 2**levels)
+    accuracy = max(1_000, 4 * 2**levels)
     if scale_by is None:
         row = df.agg(F.percentile_approx(value, probabilities, accuracy).alias("cuts")).first()
         return {None: row["cuts"]}
@@ -49,28 +49,22 @@ def _cut_points(df: DataFrame, value: str, scale_by: str | None, levels: int) ->
     return {k: row[str(i)] for i, k in enumerate(kinds)}
 
 
-def _bucket(value: Column, cuts: list[float], levels: int) -> Column:
-    """Number of cut points below ``value``, by binary search in ``levels`` steps."""
-    points = F.array(*[F.lit(float(c)) for c in cuts])
-    steps = F.array(*[F.lit(2**i) for i in reversed(range(levels))])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda found, step: found + F.when(F.get(points, found + step - 1) < value, step).otherwise(F.lit(0)),
-    )
-
-
 def _with_bucket(df: DataFrame, value: str, scale_by: str | None, levels: int) -> DataFrame:
+    """Adds the number of cut points below ``value``, by binary search.
+
+    One projection per step, all fused into one generated function.
+    """
     if levels == 0:
         return df.withColumn(_BUCKET, F.lit(0))
-    cuts = _cut_points(df, value, scale_by, levels)
-    if scale_by is None:
-        return df.withColumn(_BUCKET, _bucket(F.col(value), cuts[None], levels))
-    choice = F.lit(0)
-    for kind, points in cuts.items():
-        if points is not None:
-            choice = F.when(F.col(scale_by) == kind, _bucket(F.col(value), points, levels)).otherwise(choice)
-    return df.withColumn(_BUCKET, choice)
+    points = F.lit(None).cast("array<double>")
+    for kind, cuts in _cut_points(df, value, scale_by, levels).items():
+        listed = F.array(*[F.lit(float(c)) for c in cuts])
+        points = listed if scale_by is None else F.when(F.col(scale_by) == kind, listed).otherwise(points)
+    found = df.withColumn("_points", points).withColumn(_BUCKET, F.lit(0))
+    for step in (2**i for i in reversed(range(levels))):
+        above = F.get("_points", F.col(_BUCKET) + F.lit(step - 1)) < F.col(value)
+        found = found.withColumn(_BUCKET, F.col(_BUCKET) + F.when(above, step).otherwise(0))
+    return found.drop("_points")
 
 
 def running_counts(
@@ -83,15 +77,17 @@ def running_counts(
     tie_order: list[str] = (),
     scale_by: str | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows: int | None = None,
 ) -> DataFrame:
     """For each row, the weight before it in its group and the group's total.
 
     ``counted`` must be a materialised table (it is read several times) without
     nulls in ``by`` and ``value``; rows are ordered by ``value`` then
-    ``tie_order``. Adds ``<w>_before`` and ``<w>_total`` per weight.
+    ``tie_order``. Adds ``<w>_before`` and ``<w>_total`` per weight. ``rows``
+    is the table's row count, if known.
     """
     by = list(by)
-    levels = _levels_for(counted.count(), rows_per_bucket)
+    levels = _levels_for(counted.count() if rows is None else rows, rows_per_bucket)
     direction = F.desc if descending else F.asc
     inside_order = [direction(value), *[F.asc(c) for c in tie_order]]
 
@@ -163,22 +159,27 @@ def exact_quantiles(
     by = list(by)
     table = df if counted else materialise(value_counts(df, value, by), "counts")
     levels = _levels_for(table.count(), rows_per_bucket)
-    bucketed = _with_bucket(table, value, scale_by, levels)
-    totals = bucket_totals(bucketed, ["n"], by)
 
     def rank(p: float, bound) -> Column:
         return bound((F.col("n_total") - 1) * F.lit(float(p)))
 
-    first, last = F.col(f"n{_LOWER}"), F.col(f"n{_LOWER}") + F.col("n_in") - 1
-    wanted = reduce(
-        lambda a, b: a | b, [(first <= rank(p, F.ceil)) & (last >= rank(p, F.floor)) for p in probabilities]
-    )
-    inside = Window.partitionBy(*by, _BUCKET).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (
-        bucketed.join(totals.where(wanted), [*by, _BUCKET])
-        .withColumn("_from", F.col(f"n{_LOWER}") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .withColumn("_to", F.col("_from") + F.col("n") - 1)
-    )
+    def holds_rank(first: Column, last: Column) -> Column:
+        return reduce(
+            lambda a, b: a | b, [(first <= rank(p, F.ceil)) & (last >= rank(p, F.floor)) for p in probabilities]
+        )
+
+    if levels == 0:
+        ranked = running_counts(table, value, ["n"], by, rows_per_bucket=rows_per_bucket, rows=rows_per_bucket)
+        ranked = ranked.withColumn("_from", F.col("n_before"))
+    else:
+        bucketed = _with_bucket(table, value, scale_by, levels)
+        lower = F.col(f"n{_LOWER}")
+        totals = bucket_totals(bucketed, ["n"], by).where(holds_rank(lower, lower + F.col("n_in") - 1))
+        inside = Window.partitionBy(*by, _BUCKET).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        ranked = bucketed.join(totals, [*by, _BUCKET]).withColumn(
+            "_from", lower + F.coalesce(F.sum("n").over(inside), F.lit(0))
+        )
+    ranked = ranked.withColumn("_to", F.col("_from") + F.col("n") - 1).where(holds_rank(F.col("_from"), F.col("_to")))
 
     def at(p: float, bound) -> Column:
         return F.max(F.when((F.col("_from") <= rank(p, bound)) & (F.col("_to") >= rank(p, bound)), F.col(value)))
