@@ -23,8 +23,11 @@ MAX_LEVELS = 16
 _BUCKET, _LOWER = "_bucket", "_lower"
 
 
-def _levels_for(rows: int, rows_per_bucket: int) -> int:
-    """log2 of the number of buckets; 0 keeps each group in one window."""
+def _levels_for(table: DataFrame, by: list[str], rows_per_bucket: int) -> int:
+    """log2 of the number of buckets; 0 when the largest group fits one window."""
+    rows = table.count()  # from file footers
+    if by and rows > rows_per_bucket:
+        rows = table.groupBy(*by).count().agg(F.max("count")).first()[0]
     if rows <= rows_per_bucket:
         return 0
     return min(MAX_LEVELS, math.ceil(math.log2(rows / rows_per_bucket)))
@@ -40,13 +43,9 @@ def _cut_points(df: DataFrame, value: str, scale_by: str | None, levels: int) ->
     if scale_by is None:
         row = df.agg(F.percentile_approx(value, probabilities, accuracy).alias("cuts")).first()
         return {None: row["cuts"]}
-    # the kinds are measure names, a short list fixed by the caller's columns
-    kinds = [r[0] for r in df.select(scale_by).distinct().collect()]
-    row = df.agg(*[
-        F.percentile_approx(F.when(F.col(scale_by) == k, F.col(value)), probabilities, accuracy).alias(str(i))
-        for i, k in enumerate(kinds)
-    ]).first()
-    return {k: row[str(i)] for i, k in enumerate(kinds)}
+    # one row per kind: kinds are measure names, a short list fixed by the caller's columns
+    rows = df.groupBy(scale_by).agg(F.percentile_approx(value, probabilities, accuracy).alias("cuts")).collect()
+    return {r[scale_by]: r["cuts"] for r in rows}
 
 
 def _with_bucket(df: DataFrame, value: str, scale_by: str | None, levels: int) -> DataFrame:
@@ -77,28 +76,20 @@ def running_counts(
     tie_order: list[str] = (),
     scale_by: str | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
-    rows: int | None = None,
 ) -> DataFrame:
     """For each row, the weight before it in its group and the group's total.
 
     ``counted`` must be a materialised table (it is read several times) without
     nulls in ``by`` and ``value``; rows are ordered by ``value`` then
-    ``tie_order``. Adds ``<w>_before`` and ``<w>_total`` per weight. ``rows``
-    is the table's row count, if known.
+    ``tie_order``. Adds ``<w>_before`` and ``<w>_total`` per weight.
     """
     by = list(by)
-    levels = _levels_for(counted.count() if rows is None else rows, rows_per_bucket)
+    levels = _levels_for(counted, by, rows_per_bucket)
     direction = F.desc if descending else F.asc
     inside_order = [direction(value), *[F.asc(c) for c in tie_order]]
 
     if levels == 0:
-        before = Window.partitionBy(*by).orderBy(*inside_order).rowsBetween(Window.unboundedPreceding, -1)
-        group = Window.partitionBy(*by)
-        return counted.select(
-            "*",
-            *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"{w}_before") for w in weights],
-            *[F.sum(w).over(group).alias(f"{w}_total") for w in weights],
-        )
+        return _in_one_window(counted, weights, by, inside_order)
 
     bucketed = _with_bucket(counted, value, scale_by, levels)
     totals = bucket_totals(bucketed, weights, by, descending)
@@ -116,6 +107,16 @@ def running_counts(
     )
 
 
+def _in_one_window(counted: DataFrame, weights: list[str], by: list[str], order: list[Column]) -> DataFrame:
+    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*by)
+    return counted.select(
+        "*",
+        *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"{w}_before") for w in weights],
+        *[F.sum(w).over(group).alias(f"{w}_total") for w in weights],
+    )
+
+
 def bucket_totals(bucketed: DataFrame, weights: list[str], by: list[str], descending: bool = False) -> DataFrame:
     """Per (group, bucket): its weight, the weight in earlier buckets, the group's total.
 
@@ -158,7 +159,7 @@ def exact_quantiles(
     """
     by = list(by)
     table = df if counted else materialise(value_counts(df, value, by), "counts")
-    levels = _levels_for(table.count(), rows_per_bucket)
+    levels = _levels_for(table, by, rows_per_bucket)
 
     def rank(p: float, bound) -> Column:
         return bound((F.col("n_total") - 1) * F.lit(float(p)))
@@ -169,8 +170,7 @@ def exact_quantiles(
         )
 
     if levels == 0:
-        ranked = running_counts(table, value, ["n"], by, rows_per_bucket=rows_per_bucket, rows=rows_per_bucket)
-        ranked = ranked.withColumn("_from", F.col("n_before"))
+        ranked = _in_one_window(table, ["n"], by, [F.asc(value)]).withColumn("_from", F.col("n_before"))
     else:
         bucketed = _with_bucket(table, value, scale_by, levels)
         lower = F.col(f"n{_LOWER}")
@@ -245,7 +245,7 @@ def rank_rows(
     if method not in ("rank", "dense_rank", "row_number"):
         raise ValueError(f"unknown ranking method {method!r}")
     table = materialise(df, "ranked")
-    if _levels_for(table.count(), rows_per_bucket) == 0:
+    if _levels_for(table, [], rows_per_bucket) == 0:
         order = [F.desc_nulls_last(value), *([F.asc(c) for c in ties] if method == "row_number" else [])]
         position = getattr(F, method)().over(Window.orderBy(*order))
         return table.withColumn(alias, position.cast("bigint"))
