@@ -101,17 +101,29 @@ def pass_fail_long(
     """
     none = F.lit(0.0)
     value = F.col(score) if score else F.lit(None).cast("double")
-    mean = F.coalesce(round_even(F.avg(value), digits), none)
-    exam_mean = F.coalesce(round_even(F.avg(exam), digits), mean) if exam else mean
-    first_group = F.min_by(group, F.struct(*order)) if group else F.lit("All")
-    per_item = df.where(F.col(item).isNotNull()).groupBy(item).agg(
-        first_group.alias("department"),
-        F.count(F.lit(1)).alias("total_students"),
-        F.count_if(value >= threshold).alias("passed_students"),
-        F.count(value).alias("_scored"),
-        mean.alias("avg_score"),
-        exam_mean.alias("avg_final_exam"),
-    )
+    rows = df.where(F.col(item).isNotNull())
+    figures = {
+        "total_students": F.count(F.lit(1)),
+        "passed_students": F.count_if(value >= threshold),
+        "_scored": F.count(value),
+        "_sum": F.sum(value),
+        "_exams": F.count(exam) if exam else F.lit(0).cast("bigint"),
+        "_exam_sum": F.sum(exam) if exam else F.lit(None).cast("double"),
+    }
+    named = [c.alias(a) for a, c in figures.items()]
+    if group and len(order) == 1:
+        # one sequence column: collapse to (item, group) with plain counters and a
+        # minimum, so that nothing is sorted; the few rows left pick the first group
+        pairs = rows.groupBy(item, group).agg(*named, F.min(order[0]).alias("_seen"))
+        per_item = pairs.groupBy(item).agg(
+            F.min_by(group, "_seen").alias("department"), *[F.sum(a).alias(a) for a in figures]
+        )
+    else:
+        first_group = F.min_by(group, F.struct(*order)) if group else F.lit("All")
+        per_item = rows.groupBy(item).agg(first_group.alias("department"), *named)
+    mean = F.coalesce(round_even(F.try_divide("_sum", "_scored"), digits), none)
+    exam_mean = F.coalesce(round_even(F.try_divide("_exam_sum", "_exams"), digits), mean)
+    per_item = per_item.withColumns({"avg_score": mean, "avg_final_exam": exam_mean})
     rate = round_even(percent(F.col("passed_students"), F.col("total_students")), digits)
     rated = F.col("_scored") > 0
     return per_item.select(
@@ -230,11 +242,27 @@ def entity_rollup(
     *,
     order: list[str] = (),
 ) -> DataFrame:
-    """One row per entity: means of the measures, first non-null attributes, most frequent label."""
+    """One row per entity: means of the measures, first non-null attributes, most frequent label.
+
+    Give a single sequence column as ``order`` where there is one: it is the faster way.
+    """
     rows = df.where(F.col(entity).isNotNull())
-    rolled = rows.groupBy(entity).agg(
-        *[F.avg(m).alias(m) for m in means], *[first_present(c, list(order)).alias(c) for c in firsts]
-    )
+    if firsts and len(order) == 1:
+        # one sequence column: attributes hardly vary within an entity, so collapsing
+        # to (entity, attributes) first needs only sums, counts and a minimum
+        collapsed = rows.groupBy(entity, *firsts).agg(
+            *[F.sum(m).alias(f"_sum_{i}") for i, m in enumerate(means)],
+            *[F.count(m).alias(f"_n_{i}") for i, m in enumerate(means)],
+            F.min(order[0]).alias("_seen"),
+        )
+        rolled = collapsed.groupBy(entity).agg(
+            *[F.try_divide(F.sum(f"_sum_{i}"), F.sum(f"_n_{i}")).alias(m) for i, m in enumerate(means)],
+            *[first_present(c, ["_seen"]).alias(c) for c in firsts],
+        )
+    else:
+        rolled = rows.groupBy(entity).agg(
+            *[F.avg(m).alias(m) for m in means], *[first_present(c, list(order)).alias(c) for c in firsts]
+        )
     return rolled.join(group_mode(rows, entity, label), entity, "left") if label else rolled
 
 

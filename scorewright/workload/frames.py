@@ -87,8 +87,15 @@ RECORDS = {
 RECORDS_CTE = f"records as ({select_sql(RECORDS, LINES_SQL)})"
 
 
+# the same order as one number
+_SEQUENCE = (
+    "cast(l_orderkey as decimal(20,0)) * 1000000000000000000 + cast(l_partkey as decimal(20,0)) * 1000000000 + l_suppkey"
+)
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select_df(lines(spark, sf_dir), RECORDS)
+    """Flat records with the input order as columns ORDER and as one number ``seq``."""
+    return select_df(lines(spark, sf_dir), {**RECORDS, "seq": _SEQUENCE})
 
 
 # --- the same vocabulary under other headers, as dirty text and numbers --------
@@ -248,4 +255,4 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     part = table(spark, sf_dir, "part")
     joined = lineitem.join(orders, F.expr("l_orderkey = o_orderkey")).join(part, F.expr("l_partkey = p_partkey"))
-    return select_df(joined, ORDER_RECORDS)
+    return select_df(joined, {**ORDER_RECORDS, "seq": _SEQUENCE})

@@ -26,7 +26,7 @@ def _features(spark, sf_dir) -> DataFrame:
     """One row per order: mean features, nulls filled, with mean score and main trend."""
     return feature_matrix(
         order_records(spark, sf_dir), "student_id", ORDER_FEATURES, also=["current_gpa"], firsts=["department"],
-        label="performance_trend", order=ORDER,
+        label="performance_trend", order=["seq"],
     )
 
 

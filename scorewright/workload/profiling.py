@@ -65,13 +65,13 @@ def numeric_coercible(spark, sf_dir):
 
 def discover_measures(spark, sf_dir):
     """Score columns found among the records and the line keys."""
-    rows = records(spark, sf_dir)
+    rows = records(spark, sf_dir).drop("seq")
     names = profile.discover_measures(rows, ["semester"])
     return profile.column_counts(rows, names).select("column_name", "n_present")
 
 
 def capabilities_long(spark, sf_dir):
-    caps = profile.capabilities(records(spark, sf_dir).drop("l_orderkey", "l_partkey", "l_suppkey"))
+    caps = profile.capabilities(records(spark, sf_dir).drop("l_orderkey", "l_partkey", "l_suppkey", "seq"))
     return caps.withColumn("wide_measures", F.array_join("wide_measures", ","))
 
 

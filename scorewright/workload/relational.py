@@ -14,7 +14,7 @@ from scorewright.workload.frames import (
     MEASURES_CTE, ORDER, RECORDS_CTE, STAR_CTE, measures, r6, records, star, table,
 )
 
-ROLES = Roles(order=ORDER)
+ROLES = Roles(order=["seq"])
 KEY = ", ".join(ORDER)
 
 
@@ -101,7 +101,7 @@ def two_level_avg(spark, sf_dir):
 
 def pass_fail_long(spark, sf_dir):
     return A.pass_fail_long(
-        records(spark, sf_dir), "subject", "performance_index", exam="final_exam", group="department", order=ORDER, digits=6
+        records(spark, sf_dir), "subject", "performance_index", exam="final_exam", group="department", order=["seq"], digits=6
     )
 
 
@@ -129,7 +129,7 @@ def group_scorecard(spark, sf_dir):
 def entity_rollup(spark, sf_dir):
     rows = records(spark, sf_dir)
     rolled = A.entity_rollup(
-        rows, "student_id", ["current_gpa", "attendance"], ["student_name", "department"], "performance_trend", order=ORDER
+        rows, "student_id", ["current_gpa", "attendance"], ["student_name", "department"], "performance_trend", order=["seq"]
     )
     return rolled.withColumns({c: round_even(F.col(c), 6) for c in ("current_gpa", "attendance")})
 

@@ -14,7 +14,7 @@ from scorewright.workload.relational import (
 )
 from scorewright.workload.stats import OUTLIERS_SQL, histogram_sql
 
-ROLES = Roles(order=ORDER)
+ROLES = Roles(order=["seq"])
 
 
 def _dashboard(card):
@@ -64,7 +64,7 @@ def warning_actions(spark, sf_dir):
 
 
 def _orders_applied(spark, sf_dir):
-    return P.apply_model(order_records(spark, sf_dir).drop("l_orderkey", "l_suppkey"), R.LOGISTIC, Roles(order=["l_partkey", "final_exam"]))
+    return P.apply_model(order_records(spark, sf_dir), R.LOGISTIC, ROLES)
 
 
 QUERIES = {

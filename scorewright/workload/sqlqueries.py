@@ -19,7 +19,7 @@ def _over_star(query):
 
 
 def _over_records(query):
-    return lambda spark, d: sql_readonly(spark, query, {"raw_records": records(spark, d)})
+    return lambda spark, d: sql_readonly(spark, query, {"raw_records": records(spark, d).drop("seq")})
 
 
 def sql_readonly_sets(spark, sf_dir):
