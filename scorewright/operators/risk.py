@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from scorewright.functions.numbers import round_even
 from scorewright.operators.ordering import running_counts
 from scorewright.presets import RISK_BOUNDS, RISK_LEVELS, RISK_LEVEL_DEFAULT
-from scorewright.session import materialise
+from scorewright.session import materialise, new_path
 
 LABEL, PROBABILITY = "is_at_risk", "probability"
 
@@ -58,6 +58,17 @@ def _assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(df)
 
 
+def _stored(model):
+    """The model saved in the work folder and read back, without its training summary.
+
+    The summary holds on to the session, and with it everything that cannot be
+    sent to the executors when the model is applied.
+    """
+    path = new_path(SparkSession.active(), "model")
+    model.write().save(path)
+    return type(model).load(path)
+
+
 def train_logistic(train: DataFrame, features: list[str], label: str = LABEL):
     """L2-regularised logistic regression, unit penalty on the summed loss."""
     rows = _assemble(train, features).select("features", F.col(label).cast("double").alias(label))
@@ -65,15 +76,16 @@ def train_logistic(train: DataFrame, features: list[str], label: str = LABEL):
         featuresCol="features", labelCol=label, maxIter=LOGISTIC_ITERATIONS, regParam=1.0 / max(rows.count(), 1),
         elasticNetParam=0.0, standardization=False, tol=1e-6,
     )
-    return estimator.fit(rows)
+    return _stored(estimator.fit(rows))
 
 
 def train_forest(train: DataFrame, features: list[str], label: str = LABEL, *, depth: int = FOREST_DEPTH):
     rows = _assemble(train, features).select("features", F.col(label).cast("double").alias(label))
-    return RandomForestClassifier(
+    estimator = RandomForestClassifier(
         featuresCol="features", labelCol=label, numTrees=FOREST_TREES, maxDepth=depth, seed=SEED,
         featureSubsetStrategy="sqrt", maxMemoryInMB=1024,
-    ).fit(rows)
+    )
+    return _stored(estimator.fit(rows))
 
 
 def train_boosted(train: DataFrame, features: list[str], label: str = LABEL):

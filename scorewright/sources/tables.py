@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scorewright.operators.ordering import last_per_key
 from scorewright.presets import ACTION_STATUSES
@@ -65,16 +67,17 @@ def upsert_table(
 
 
 def load_counts(tables: dict[str, DataFrame], folder: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Store each table under ``folder``; rows written are counted by the write itself."""
-    stored, counts = {}, []
-    for name, df in tables.items():
-        seen = Observation(name)
-        path = f"{folder}/{name}"
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
-        counts.append((name, int(seen.get["rows"])))
-        stored[name] = df.sparkSession.read.parquet(path)
-    spark = next(iter(tables.values())).sparkSession
-    return stored, spark.createDataFrame(counts, "table_name string, rows_loaded bigint")
+    """Store each table under ``folder`` and report the rows written.
+
+    Counts come from the stored files' footers. (Observing the writes would
+    leave the session unable to apply models that keep a training summary.)
+    """
+    stored = {name: replace_table(df, f"{folder}/{name}") for name, df in tables.items()}
+    counts = [
+        df.agg(F.count(F.lit(1)).alias("rows_loaded")).select(F.lit(name).alias("table_name"), "rows_loaded")
+        for name, df in stored.items()
+    ]
+    return stored, reduce(DataFrame.unionByName, counts)
 
 
 def apply_status_updates(

@@ -119,3 +119,15 @@ def test_registered_model_queries(spark, sf_dir):
     assert sum(r["chosen"] for r in silhouettes) == 1
     importance = QUERIES["feature_importance"](spark, sf_dir).collect()
     assert len(importance) == 18
+
+
+def test_models_apply_in_a_session_with_observed_writes(spark, labelled):
+    """An observation leaves something unserialisable in the session; models must not carry it along."""
+    from pyspark.sql import Observation
+
+    seen = Observation("seen")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    table = R.risk_label(feature_matrix(labelled, "student_id", ["attendance", "final_exam"]))
+    for name in R.TRAINERS:
+        assert R.score_all(table, ["attendance", "final_exam"], name).count() == 80
