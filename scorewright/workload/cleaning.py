@@ -156,7 +156,8 @@ def clean_records_wide(spark, sf_dir):
     return C.clean_records(wide, {"student_name": "Name"})
 
 
-_STAR_ORDER = ORDER
+# at the smallest scale a few lines share all three keys
+_STAR_ORDER = [*ORDER, "semester", "internal_1"]
 
 
 def _star(spark, sf_dir):
@@ -313,7 +314,7 @@ _GENERAL = RECORDS_CTE.replace(
 _SUBJECT_KEY = "upper(substr(regexp_replace(subject, '[^a-zA-Z0-9]', '', 'g'), 1, 10))"
 _STAR = f"""
     with {_GENERAL}, keyed as (select *, {_SUBJECT_KEY} as subject_id,
-        row_number() over (order by {_KEY}) as seq from records),
+        row_number() over (order by {', '.join(_STAR_ORDER)}) as seq from records),
     firsts as (select * from keyed qualify row_number() over (partition by student_id order by seq) = 1),
     lasts as (select * from keyed qualify row_number() over (partition by student_id, subject_id order by seq desc) = 1),
     pairs as (select subject_id, subject, department, min(seq) as seen from keyed group by all)

@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-ORDER = ["l_orderkey", "l_partkey", "l_suppkey"]  # unique per line: the input order
+ORDER = ["l_orderkey", "l_partkey", "l_suppkey"]  # the input order; unique per line but for a few at the smallest scale
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
