@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorewright.llm import grammar_store, packing
+from scorewright.llm import grammar_store, line_windows, packing, weak_rules
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +16,18 @@ def op2_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar_store.encode_corpus(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 49_408, 1)
 
 
+def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_windows.dedup_lines(_docs(spark, sf_dir))
+    return done.select("row_.doc_id", "row_.text", "dedup_.n_lines", "dedup_.n_removed")
+
+
 def op7_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
-QUERIES = {f.__name__: f for f in (op2_repair_store, op7_residual_packing)}
-ORACLES: dict[str, str] = {}
+def op10_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_rules.judge(_docs(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_repair_store, op5_line_windows, op7_residual_packing, op10_weak_rules)}
+ORACLES: dict[str, str] = {"op5_line_windows": line_windows.ORACLE}
