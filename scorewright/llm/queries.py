@@ -5,22 +5,38 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorewright.llm import grammar_store, line_windows, packing, weak_rules
+from scorewright.llm import grammar_store, line_windows, nearest_toxic, packing, rule_ensemble, secret_scan, weak_rules
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.score_quality(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op2_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar_store.encode_corpus(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 49_408, 1)
 
 
+def op3_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_toxic.score_toxicity(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_windows.dedup_lines(_docs(spark, sf_dir))
     return done.select("row_.doc_id", "row_.text", "dedup_.n_lines", "dedup_.n_removed")
 
 
+def op6_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_docs(spark, sf_dir))
+
+
 def op7_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
@@ -29,5 +45,7 @@ def op10_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_repair_store, op5_line_windows, op7_residual_packing, op10_weak_rules)}
+QUERIES = {f.__name__: f for f in (
+    op1_rule_ensemble, op2_repair_store, op3_nearest_toxic, op5_line_windows, op6_markov_secrets, op7_residual_packing,
+    op10_weak_rules)}
 ORACLES: dict[str, str] = {"op5_line_windows": line_windows.ORACLE}
