@@ -46,7 +46,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, vocabulary_size: i
                  pa.array([len(ids)], pa.int64()), pa.array([payload], pa.binary())],
                 ["shard", "block", "before", "n_ids", "payload"])
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 8_000_000):
             for name, ids in zip(batch.column("doc_id").to_pylist(), texts_to_ids(batch.column("text").to_pylist())):
                 names.append(name)
                 parts.append(ids + end)

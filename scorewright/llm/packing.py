@@ -82,7 +82,7 @@ def local_bins(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, sla
             return high | made
 
         rest, full = [], []
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 8_000_000):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), texts_to_ids(batch.column("text").to_pylist())):
                 ids += end
                 n = len(ids) // 4

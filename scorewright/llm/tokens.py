@@ -38,90 +38,80 @@ class WordEncoder:
     case is ignored. ``limit`` bounds the cached words; a full cache is emptied.
     """
 
-    def __init__(self, path: str, spaced: bool, width: int = 4, limit: int = 600_000):
+    def __init__(self, path: str, spaced: bool, width: int = 4, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced, self.limit = spaced, limit
         self.kind = {2: "H", 4: "I"}[width]
-        self.parts: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.parts: dict[str, dict[str, bytes]] = {"": {}, " ": {}}  # by what stands before a word
+        self.cores: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.spaced:
             words = [t.split() if not _CONTROLS.search(t) else [w for w in _BLANKS.split(t) if w] for t in texts]
-            ids = self._ids(set().union(*words)) if words else {}
+            ids = self._ids(set().union(*words), "")
             return [b"".join(map(ids.__getitem__, w)) for w in words]
         words = [t.split(" ") for t in texts]
-        known = set().union(*words) if words else set()
+        known = set().union(*words)
         odd = {w for w in known if not w or w[0].isspace() or w[-1].isspace()}
-        out: list[bytes | None] = [None] * len(texts)
-        rare: dict[int, list[str]] = {}
-        plain: set[str] = set()
-        for i, w in enumerate(words):
-            if odd and not odd.isdisjoint(w):
-                rare[i] = _CUT.split(texts[i])
-                plain.update(rare[i])
-            else:
-                plain.add(w[0])
-        first = self._ids(plain)
-        spaced = self._ids({" " + w for w in known - odd})
-        rest = {w: spaced[" " + w] for w in known - odd}
-        for i, w in enumerate(words):
-            if i in rare:
-                out[i] = b"".join(map(first.__getitem__, rare[i]))
-            else:
-                out[i] = first[w[0]] + b"".join(map(rest.__getitem__, w[1:]))
-        return out
-
-    def _ids(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of each part; a tail of punctuation is looked up apart from the word before it."""
-        parts_seen, cores = self.parts, self.cores
-        out = {p: cores[p] for p in parts if p in cores}
-        out.update((p, parts_seen[p]) for p in parts if p in parts_seen)
-        split, missing = {}, {}
-        for p in parts:
-            if p in out:
-                continue
-            core = p.rstrip(string.punctuation)
-            tail = p[len(core):]
-            if not tail or not core or not core[-1].isalpha() or "<|" in p:  # special tokens stay whole
-                core, tail = p, ""
+        rare = {i: _CUT.split(texts[i]) for i, w in enumerate(words) if odd and not odd.isdisjoint(w)}
+        first = self._ids({w[0] for i, w in enumerate(words) if i not in rare}.union(*rare.values()), "")
+        rest = self._ids(known - odd, " ")
+        return [b"".join(map(first.__getitem__, rare[i])) if i in rare
+                else first[w[0]] + b"".join(map(rest.__getitem__, w[1:])) for i, w in enumerate(words)]
+
+    def _ids(self, words: set[str], before: str) -> dict[str, bytes]:
+        """Ids of each word after ``before``; a tail of punctuation is looked up apart from the word it follows."""
+        parts, cores, tails = self.parts[before], self.cores[before], self.cores[""]
+        out = {w: cores[w] for w in words if w in cores}
+        out.update((w, parts[w]) for w in words if w in parts)
+        split: dict[str, tuple[str, str]] = {}
+        fresh: dict[str, bytes] = {}
+        ends: dict[str, bytes] = {}
+        for w in words - out.keys():
+            core = w.rstrip(string.punctuation)
+            tail = w[len(core):]
+            if not tail or not core or not core[-1].isalpha() or "<|" in w:  # special tokens stay whole
+                core, tail = w, ""
             if not self.spaced and core and max(core) < "İ":  # one letter becomes one letter there
                 core = core.lower()
-            split[p] = core, tail
+            split[w] = core, tail
             if core not in cores:
-                missing[core] = None
-            if tail and tail not in cores:
-                missing[tail] = None
-        fresh = {}
-        if missing:
-            names = []
-            for name in missing:
-                letters = name[1:] if self.spaced and name[:1] == " " else name
-                if letters.isascii() and letters.isalpha() and (self.spaced or letters.islower()):
-                    word = _LETTERS[32] + letters if len(letters) < len(name) else letters
-                elif letters.isalpha() and max(letters) < "İ" and (self.spaced or letters.islower()) and (
-                        self.spaced or unicodedata.is_normalized("NFC", letters)):
-                    word = "".join(map(_LETTERS.__getitem__, name.encode()))
-                else:
-                    names.append(name)
-                    continue
-                # one run of letters is one part of the split, so the model alone is asked
-                fresh[name] = array(self.kind, [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
-            for name, e in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False)):
-                fresh[name] = array(self.kind, e.ids).tobytes()
-        for p, (core, tail) in split.items():
+                fresh[core] = b""
+            if tail and tail not in tails:
+                ends[tail] = b""
+        self._encode_all(fresh, before)
+        self._encode_all(ends, "")
+        for w, (core, tail) in split.items():
             ids = fresh[core] if core in fresh else cores[core]
-            out[p] = ids + (fresh[tail] if tail in fresh else cores[tail]) if tail else ids
-        if len(cores) + len(fresh) > self.limit:
-            cores.clear()
-        cores.update(fresh)
-        if len(parts_seen) + len(split) > self.limit:
-            parts_seen.clear()
-        parts_seen.update((p, out[p]) for p, (core, _) in split.items() if core != p)
+            out[w] = ids + (ends[tail] if tail in ends else tails[tail]) if tail else ids
+        self._keep(cores, fresh)
+        self._keep(tails, ends)
+        self._keep(parts, {w: out[w] for w, (core, _) in split.items() if core != w})
         return out
 
+    def _keep(self, cache: dict[str, bytes], new: dict[str, bytes]) -> None:
+        if len(cache) + len(new) > self.limit:
+            cache.clear()
+        cache.update(new)
+
+    def _encode_all(self, names: dict[str, bytes], before: str) -> None:
+        """Fill in the ids of each name after ``before``."""
+        whole = []
+        merge, kind = self.tokenizer.model.tokenize, self.kind
+        space = _LETTERS[32] if before else ""
+        for name in names:
+            if name.isalpha() and (name.isascii() or max(name) < "İ") and (
+                    self.spaced or name.islower() and unicodedata.is_normalized("NFC", name)):
+                # one run of letters is one part of the split, so the model alone is asked
+                word = space + (name if name.isascii() else "".join(map(_LETTERS.__getitem__, name.encode())))
+                names[name] = array(kind, [t.id for t in merge(word)]).tobytes()
+            else:
+                whole.append(name)
+        for name, e in zip(whole, self.tokenizer.encode_batch_fast([before + n for n in whole], add_special_tokens=False)):
+            names[name] = array(kind, e.ids).tobytes()
+
 
 def encoder(path: str, spaced: bool, width: int = 4) -> WordEncoder:
     """The encoder of this worker for a file; its cached words serve all tasks of the worker."""
