@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorewright.llm import grammar_store, line_windows, nearest_toxic, packing, rule_ensemble, secret_scan, weak_rules
+from scorewright.llm import (
+    bagminhash, grammar_store, line_windows, minhash, nearest_toxic, packing, rule_ensemble, secret_scan, weak_rules,
+)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +30,10 @@ def op3_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_toxic.score_toxicity(_docs(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.copy_classes(_docs(spark, sf_dir)).select("doc_id", "class_id")
+
+
 def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_windows.dedup_lines(_docs(spark, sf_dir))
     return done.select("row_.doc_id", "row_.text", "dedup_.n_lines", "dedup_.n_removed")
@@ -41,11 +47,15 @@ def op7_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint_neighbours(_docs(spark, sf_dir))
+
+
 def op10_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge(_docs(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_rule_ensemble, op2_repair_store, op3_nearest_toxic, op5_line_windows, op6_markov_secrets, op7_residual_packing,
-    op10_weak_rules)}
+    op1_rule_ensemble, op2_repair_store, op3_nearest_toxic, op4_bagminhash, op5_line_windows, op6_markov_secrets, op7_residual_packing,
+    op8_minhash, op10_weak_rules)}
 ORACLES: dict[str, str] = {"op5_line_windows": line_windows.ORACLE}
