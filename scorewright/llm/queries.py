@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scorewright.llm import (
-    bagminhash, grammar_store, line_windows, minhash, nearest_toxic, packing, rule_ensemble, secret_scan, weak_rules,
+    bagminhash, grammar_store, line_windows, merge_dropout, minhash, nearest_toxic, packing, rule_ensemble, secret_scan,
+    weak_rules,
 )
 
 
@@ -51,11 +52,15 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_neighbours(_docs(spark, sf_dir))
 
 
+def op9_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_dropout.round_trips(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge(_docs(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_rule_ensemble, op2_repair_store, op3_nearest_toxic, op4_bagminhash, op5_line_windows, op6_markov_secrets, op7_residual_packing,
-    op8_minhash, op10_weak_rules)}
+    op8_minhash, op9_merge_dropout, op10_weak_rules)}
 ORACLES: dict[str, str] = {"op5_line_windows": line_windows.ORACLE}
