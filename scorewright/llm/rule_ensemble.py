@@ -96,7 +96,7 @@ def condition(rule: Rule) -> Column:
     return out
 
 
-def fit_rules(sample: DataFrame, trees: int = 12, depth: int = 3, penalty: float = 0.002,
+def fit_rules(sample: DataFrame, trees: int = 8, depth: int = 3, penalty: float = 0.002,
               seed: int = 7) -> tuple[float, list[tuple[Rule, float]]]:
     """Intercept and the weighted rules that the lasso keeps; ``sample`` has statistics, y and weight."""
     names = list(STATISTICS)
@@ -107,7 +107,7 @@ def fit_rules(sample: DataFrame, trees: int = 12, depth: int = 3, penalty: float
     held = sample.select("y", "weight", *[condition(r).cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
     held = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="x_").transform(held)
     model = LogisticRegression(featuresCol="x_", labelCol="y", weightCol="weight", elasticNetParam=1.0, regParam=penalty,
-                               maxIter=60).fit(materialise(held.select("x_", "y", "weight"), "rules"))
+                               maxIter=25).fit(materialise(held.select("x_", "y", "weight").coalesce(2), "rules"))
     return model.intercept, [(r, w) for r, w in zip(rules, model.coefficients.toArray().tolist()) if w]
 
 
@@ -140,4 +140,6 @@ def accepted(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) ->
     """The rows of ``docs`` that are not rejected, as they are."""
     score = fit(docs, labels, per_label)
     wrapped = docs.select(F.struct("*").alias("doc_id"), F.col("text"))  # the row passes through in the id's place
-    return statistics(wrapped).where(score >= ACCEPT).select("doc_id.*")
+    # a row number keeps the filter above the statistics: pushed below, each rule would compute them again
+    judged = statistics(wrapped).select("doc_id", (score >= ACCEPT).alias("kept"), F.monotonically_increasing_id().alias("row"))
+    return judged.where("kept and row >= 0").select("doc_id.*")
