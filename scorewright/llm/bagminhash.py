@@ -88,20 +88,17 @@ def _bands(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def copy_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Per document: doc_id, node (hash of its text), class_id."""
+    """Per document: doc_id, node (hash of its text), label (of its class), class_id."""
     return near_classes(docs, _bands, weighted_jaccard, similar)
 
 
 def deduplicated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``docs`` with one row of each class: that of the least id, and of rows alike in it the least text hash."""
     classes = copy_classes(docs, similar)
-    stay = (classes.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("node")).alias("own"))
-            .agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("node"))).alias("of"), F.count("*").alias("n"))
-            .select("class_id", "of", "n"))
-    alike = (classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("class_id").alias("id_"), F.col("node").alias("of_"))
-             .agg(F.count("*").alias("rows_")))
-    stay = (stay.join(alike, F.col("class_id").eqNullSafe(F.col("id_")) & (F.col("of") == F.col("of_")))
-            .select("id_", "of_", "rows_"))
+    alike = classes.groupBy("label", "doc_id", "node").agg(F.count("*").alias("rows"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node", "rows"))
+    stay = (alike.groupBy("label").agg(best.alias("best"))
+            .select(F.col("best.doc_id").alias("id_"), F.col("best.node").alias("of_"), F.col("best.rows").alias("rows_")))
     kept = (docs.select(F.struct("*").alias("row_"), node().alias("node_"))
             .join(stay.hint("shuffle_hash"), F.col("row_.doc_id").eqNullSafe(F.col("id_")) & (F.col("node_") == F.col("of_"))))
     once = kept.where("rows_ = 1").select("row_.*")

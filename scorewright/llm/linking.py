@@ -88,7 +88,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, bands_of: Bands, similarity, similar: float) -> DataFrame:
-    """Per document: doc_id, node and class_id, the least id among the documents of its class (null ids aside)."""
+    """Per document: doc_id, node, label (a node of its class) and class_id, the least id in the class (null ids aside)."""
     sketches = materialise(_sketches(docs, bands_of), "sketches")
     nodes = materialise(sketches.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("band"))
@@ -118,5 +118,5 @@ def near_classes(docs: DataFrame, bands_of: Bands, similarity, similar: float) -
         tested, links = tested.unionByName(fresh), links.unionByName(found)
     firsts = nodes.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     classes = firsts.groupBy("label").agg(F.min("first").alias("class_id"))
-    by_node = materialise(firsts.join(classes, "label").select("node", "class_id"), "classes")
+    by_node = materialise(firsts.join(classes, "label").select("node", "label", "class_id"), "classes")
     return sketches.select("doc_id", "node").join(by_node, "node")
