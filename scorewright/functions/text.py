@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Blanks removed at both ends, and texts that mean "missing".
-BLANKS = " \t\n\r\x0b\x0c"
+# Blanks (of ASCII and Unicode) removed at both ends, and texts that mean "missing".
+BLANKS = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+          "\u2028\u2029\u202f\u205f\u3000")
 MISSING_TOKENS = ("nan", "None", "")
 
 # A boundary before each cased letter that follows anything but a cased letter.

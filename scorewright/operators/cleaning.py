@@ -82,7 +82,7 @@ def impute_group_median(df: DataFrame, rules: list[MeasureRule], group: str | No
         overall_counts = materialise(
             counted.groupBy("measure", "value").agg(F.sum("n").alias("n")), "measure-counts"
         )
-    overall = exact_quantiles(overall_counts, "value", [0.5], ["measure"], counted=True, scale_by="measure")
+    overall = exact_quantiles(overall_counts, "value", [0.5], ["measure"], counted=True)
     overall_medians = {r["measure"]: r["q0"] for r in overall.collect()}  # one row per measure
 
     fills = {r.column: F.lit(float(overall_medians.get(r.column, r.fallback))) for r in used}
@@ -90,7 +90,7 @@ def impute_group_median(df: DataFrame, rules: list[MeasureRule], group: str | No
         return df.withColumns({c: F.coalesce(F.col(c), fill) for c, fill in fills.items()})
 
     by_group = exact_quantiles(
-        counted.where(F.col(group).isNotNull()), "value", [0.5], keys, counted=True, scale_by="measure"
+        counted.where(F.col(group).isNotNull()), "value", [0.5], keys, counted=True
     )
     medians = materialise(
         by_group.groupBy(group).agg(*[

@@ -16,7 +16,7 @@ def fill_medians(table: DataFrame, columns: list[str]) -> DataFrame:
     """
     entries = [F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in columns]
     counted = materialise(value_counts(table.select(F.inline(F.array(*entries))), "value", ["measure"]), "feature-counts")
-    rows = exact_quantiles(counted, "value", [0.5], ["measure"], counted=True, scale_by="measure").collect()
+    rows = exact_quantiles(counted, "value", [0.5], ["measure"], counted=True).collect()
     medians = {r["measure"]: r["q0"] for r in rows}  # one row per feature
     return table.withColumns({
         c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) if c in medians else F.col(c).cast("double")

@@ -2,10 +2,10 @@
 
 Exact medians, tie-averaged ranks and running totals all need "how much lies
 below this value in its group". Rows are first collapsed to (group, value,
-count). If the collapsed table is large, its values are cut into buckets of
-similar size; only (group, bucket) totals are accumulated in order, and each
-bucket is then ordered on its own. A group holding a third of all rows is thus
-spread over as many tasks as it has buckets.
+count) and range partitioned by group and value; only the totals of each
+(group, partition) are accumulated in order, and each partition is then ordered
+on its own. A group holding a third of all rows is spread over as many tasks as
+its rows need. There is one way for all sizes: a small table has one partition.
 """
 
 from __future__ import annotations
@@ -18,52 +18,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from scorewright.session import materialise
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_LEVELS = 16
 
 _BUCKET, _LOWER = "_bucket", "_lower"
 
 
-def _levels_for(table: DataFrame, by: list[str], rows_per_bucket: int) -> int:
-    """log2 of the number of buckets; 0 when the largest group fits one window."""
-    rows = table.count()  # from file footers
-    if by and rows > rows_per_bucket:
-        rows = table.groupBy(*by).count().agg(F.max("count")).first()[0]
-    if rows <= rows_per_bucket:
-        return 0
-    return min(MAX_LEVELS, math.ceil(math.log2(rows / rows_per_bucket)))
+def _ranged(table: DataFrame, order: list[Column], rows_per_bucket: int) -> DataFrame:
+    """The table range partitioned by ``order`` and stored with its partition's number.
 
-
-def _cut_points(df: DataFrame, value: str, scale_by: str | None, levels: int) -> dict:
-    """Approximate quantiles per ``scale_by`` value: a bounded one-row answer.
-
-    They only steer the balance of the buckets, never the result.
-    """
-    probabilities = [i / 2**levels for i in range(1, 2**levels)]
-    accuracy = max(1_000, 4 * 2**levels)
-    if scale_by is None:
-        row = df.agg(F.percentile_approx(value, probabilities, accuracy).alias("cuts")).first()
-        return {None: row["cuts"]}
-    # one row per kind: kinds are measure names, a short list fixed by the caller's columns
-    rows = df.groupBy(scale_by).agg(F.percentile_approx(value, probabilities, accuracy).alias("cuts")).collect()
-    return {r[scale_by]: r["cuts"] for r in rows}
-
-
-def _with_bucket(df: DataFrame, value: str, scale_by: str | None, levels: int) -> DataFrame:
-    """Adds the number of cut points below ``value``, by binary search.
-
-    One projection per step, all fused into one generated function.
+    Stored, so that a repeated task cannot move a row to another partition.
     """
-    if levels == 0:
-        return df.withColumn(_BUCKET, F.lit(0))
-    points = F.lit(None).cast("array<double>")
-    for kind, cuts in _cut_points(df, value, scale_by, levels).items():
-        listed = F.array(*[F.lit(float(c)) for c in cuts])
-        points = listed if scale_by is None else F.when(F.col(scale_by) == kind, listed).otherwise(points)
-    found = df.withColumn("_points", points).withColumn(_BUCKET, F.lit(0))
-    for step in (2**i for i in reversed(range(levels))):
-        above = F.get("_points", F.col(_BUCKET) + F.lit(step - 1)) < F.col(value)
-        found = found.withColumn(_BUCKET, F.col(_BUCKET) + F.when(above, step).otherwise(0))
-    return found.drop("_points")
+    parts = max(1, math.ceil(table.count() / rows_per_bucket))  # rows from file footers
+    return materialise(table.repartitionByRange(parts, *order).withColumn(_BUCKET, F.spark_partition_id()), "ranged")
 
 
 def running_counts(
@@ -74,25 +39,18 @@ def running_counts(
     *,
     descending: bool = False,
     tie_order: list[str] = (),
-    scale_by: str | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """For each row, the weight before it in its group and the group's total.
 
-    ``counted`` must be a materialised table (it is read several times) without
-    nulls in ``by`` and ``value``; rows are ordered by ``value`` then
+    ``counted`` must be a materialised table without nulls in ``by``; rows are ordered by ``value`` then
     ``tie_order``. Adds ``<w>_before`` and ``<w>_total`` per weight.
     """
     by = list(by)
-    levels = _levels_for(counted, by, rows_per_bucket)
     direction = F.desc if descending else F.asc
     inside_order = [direction(value), *[F.asc(c) for c in tie_order]]
-
-    if levels == 0:
-        return _in_one_window(counted, weights, by, inside_order)
-
-    bucketed = _with_bucket(counted, value, scale_by, levels)
-    totals = bucket_totals(bucketed, weights, by, descending)
+    bucketed = _ranged(counted, [*[F.asc(c) for c in by], *inside_order], rows_per_bucket)
+    totals = bucket_totals(bucketed, weights, by)
     inside = Window.partitionBy(*by, _BUCKET).orderBy(*inside_order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         bucketed.join(totals, [*by, _BUCKET])
@@ -107,23 +65,12 @@ def running_counts(
     )
 
 
-def _in_one_window(counted: DataFrame, weights: list[str], by: list[str], order: list[Column]) -> DataFrame:
-    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    group = Window.partitionBy(*by)
-    return counted.select(
-        "*",
-        *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"{w}_before") for w in weights],
-        *[F.sum(w).over(group).alias(f"{w}_total") for w in weights],
-    )
-
-
-def bucket_totals(bucketed: DataFrame, weights: list[str], by: list[str], descending: bool = False) -> DataFrame:
+def bucket_totals(bucketed: DataFrame, weights: list[str], by: list[str]) -> DataFrame:
     """Per (group, bucket): its weight, the weight in earlier buckets, the group's total.
 
-    At most 2**MAX_LEVELS rows per group reach the ordered window.
+    At most one row per group and partition reaches the ordered window.
     """
-    direction = F.desc if descending else F.asc
-    earlier = Window.partitionBy(*by).orderBy(direction(_BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*by)
     sums = bucketed.groupBy(*by, _BUCKET).agg(*[F.sum(w).alias(f"{w}_in") for w in weights])
     return sums.select(
@@ -149,7 +96,6 @@ def exact_quantiles(
     by: list[str] = (),
     *,
     counted: bool = False,
-    scale_by: str | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Linearly interpolated quantiles ``q0, q1, ...`` and count ``n`` per group.
@@ -159,7 +105,6 @@ def exact_quantiles(
     """
     by = list(by)
     table = df if counted else materialise(value_counts(df, value, by), "counts")
-    levels = _levels_for(table, by, rows_per_bucket)
 
     def rank(p: float, bound) -> Column:
         return bound((F.col("n_total") - 1) * F.lit(float(p)))
@@ -169,16 +114,13 @@ def exact_quantiles(
             lambda a, b: a | b, [(first <= rank(p, F.ceil)) & (last >= rank(p, F.floor)) for p in probabilities]
         )
 
-    if levels == 0:
-        ranked = _in_one_window(table, ["n"], by, [F.asc(value)]).withColumn("_from", F.col("n_before"))
-    else:
-        bucketed = _with_bucket(table, value, scale_by, levels)
-        lower = F.col(f"n{_LOWER}")
-        totals = bucket_totals(bucketed, ["n"], by).where(holds_rank(lower, lower + F.col("n_in") - 1))
-        inside = Window.partitionBy(*by, _BUCKET).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        ranked = bucketed.join(totals, [*by, _BUCKET]).withColumn(
-            "_from", lower + F.coalesce(F.sum("n").over(inside), F.lit(0))
-        )
+    bucketed = _ranged(table, [F.asc(c) for c in [*by, value]], rows_per_bucket)
+    lower = F.col(f"n{_LOWER}")
+    totals = bucket_totals(bucketed, ["n"], by).where(holds_rank(lower, lower + F.col("n_in") - 1))
+    inside = Window.partitionBy(*by, _BUCKET).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = bucketed.join(totals, [*by, _BUCKET]).withColumn(
+        "_from", lower + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    )
     ranked = ranked.withColumn("_to", F.col("_from") + F.col("n") - 1).where(holds_rank(F.col("_from"), F.col("_to")))
 
     def at(p: float, bound) -> Column:
@@ -219,11 +161,10 @@ def average_ranks(
     value: str,
     by: list[str] = (),
     *,
-    scale_by: str | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Tie-averaged rank of each value of a materialised (by, value, n) table."""
-    ranked = running_counts(counted, value, ["n"], by, scale_by=scale_by, rows_per_bucket=rows_per_bucket)
+    ranked = running_counts(counted, value, ["n"], by, rows_per_bucket=rows_per_bucket)
     return ranked.withColumn("rank", F.col("n_before") + (F.col("n") + 1) / F.lit(2.0))
 
 
@@ -236,35 +177,28 @@ def rank_rows(
     ties: list[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Rank all rows by ``value`` descending; nulls come last.
+    """Rank all rows by ``value`` descending, in the column's own order; nulls come last.
 
     ``method``: ``rank`` (gaps after ties), ``dense_rank`` or ``row_number``
-    (ties ordered by ``ties``). A table of many rows, say one per entity, is
-    ranked bucket by bucket instead of in a single ordered task.
+    (ties ordered by ``ties``, then by a hash of the row).
     """
     if method not in ("rank", "dense_rank", "row_number"):
         raise ValueError(f"unknown ranking method {method!r}")
     table = materialise(df, "ranked")
-    if _levels_for(table, [], rows_per_bucket) == 0:
-        order = [F.desc_nulls_last(value), *([F.asc(c) for c in ties] if method == "row_number" else [])]
-        position = getattr(F, method)().over(Window.orderBy(*order))
-        return table.withColumn(alias, position.cast("bigint"))
-
-    filled = table.withColumn("_value", F.coalesce(F.col(value).cast("double"), F.lit(float("-inf"))))
     if method == "row_number":
+        ready = materialise(table.withColumns({"_one": F.lit(1), "_tie": F.xxhash64(*table.columns)}), "numbered")
         numbered = running_counts(
-            filled.withColumn("_one", F.lit(1)), "_value", ["_one"],
-            descending=True, tie_order=list(ties), rows_per_bucket=rows_per_bucket,
+            ready, value, ["_one"], descending=True, tie_order=[*ties, "_tie"], rows_per_bucket=rows_per_bucket
         )
         return numbered.select(*table.columns, (F.col("_one_before") + 1).cast("bigint").alias(alias))
     counted = materialise(
-        value_counts(filled, "_value").withColumn("_one", F.lit(1)), "counts"
+        table.groupBy(F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1)), "counts"
     )
     before = "n_before" if method == "rank" else "_one_before"
     ranks = running_counts(
         counted, "_value", ["n", "_one"], descending=True, rows_per_bucket=rows_per_bucket
     ).select("_value", (F.col(before) + 1).cast("bigint").alias(alias))
-    return filled.join(ranks, "_value").select(*table.columns, alias)
+    return table.join(ranks, table[value].eqNullSafe(ranks["_value"])).select(*table.columns, alias)
 
 
 def top_k(df: DataFrame, value: str, k: int = 10, ties: list[str] = (), *, alias: str | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ BOOSTED_ROUNDS, BOOSTED_DEPTH, BOOSTED_RATE = 50, 3, 0.1
 TEST_SHARE, SEED = 0.3, 42
 
 # Trees grow until pure in the original; a distributed tree needs a depth bound.
-FOREST_DEPTH = 12
+FOREST_DEPTH = 30
 
 
 def risk_label(df: DataFrame, bounds: dict[str, float] = RISK_BOUNDS, alias: str = LABEL) -> DataFrame:

@@ -12,6 +12,8 @@ FORBIDDEN_WORDS = ["insert", "update", "delete", "drop", "alter", "truncate", "c
 # Spark runs further commands that change state, so a query must also begin
 # like one, and may not call into the JVM by reflection.
 _OPENING = re.compile(r"^[\s(]*(select|with|values)\b", re.IGNORECASE)
+_COMMENT = re.compile(r"/\*.*?\*/|--[^\n]*", re.DOTALL)
+_RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
 _REFLECTION = re.compile(r"\b(reflect|java_method|try_reflect)\s*\(", re.IGNORECASE)
 
 
@@ -20,15 +22,25 @@ def check_read_only(query: str) -> None:
     for word in FORBIDDEN_WORDS:
         if re.search(rf"\b{word}\b", query, re.IGNORECASE):
             raise ValueError(f"query refused: it contains the word {word!r}")
-    if not _OPENING.match(query):
+    if not _OPENING.match(_COMMENT.sub(" ", query)):
         raise ValueError("query refused: it must start with SELECT, WITH or VALUES")
     if _REFLECTION.search(query):
         raise ValueError("query refused: reflection functions are not allowed")
 
 
+def check_relations(spark: SparkSession, query: str) -> None:
+    """Raise ValueError if ``query`` reads a file: its relations must be plain names, or names in a database."""
+    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(query).toString()
+    for relation in _RELATION.findall(parsed):
+        parts = [p.strip() for p in relation.split(",")]
+        if len(parts) > 1 and not spark.catalog.databaseExists(parts[-2]):
+            raise ValueError(f"query refused: {'.'.join(parts)} is not a table")
+
+
 def sql_readonly(spark: SparkSession, query: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """Check ``query``, register ``tables`` as temporary views, and plan it."""
     check_read_only(query)
+    check_relations(spark, query)
     for name, df in (tables or {}).items():
         df.createOrReplaceTempView(name)
     return spark.sql(query)

@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 CSV_SUFFIXES, WORKBOOK_SUFFIXES = (".csv",), (".xlsx",)
 
 # Texts a CSV reader takes as missing, besides the empty field.
-CSV_NULL_TOKENS = ("NA", "N/A", "NaN", "nan", "null", "NULL", "None")
+CSV_NULL_TOKENS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN",
+    "None", "n/a", "nan", "null",
+)
 
 
 def file_kind(path: str) -> str:

@@ -69,12 +69,19 @@ def harmonise(
 ) -> DataFrame:
     """Stack sources with different headers under the canonical names.
 
-    Columns a source lacks are null. ``source_column`` names an optional extra
-    column holding the source's key.
+    Columns a source lacks are null. A field that is text in one source and of
+    another type in a second becomes text in all. ``source_column`` names an
+    optional extra column holding the source's key.
     """
+    named = {name: rename_mapped(df, match_columns(df.columns, spellings)) for name, df in sources.items()}
+    kinds: dict[str, set[str]] = {}
+    for df in named.values():
+        for column, kind in df.dtypes:
+            kinds.setdefault(column, set()).add(kind)
     frames = []
-    for name, df in sources.items():
-        renamed = rename_mapped(df, match_columns(df.columns, spellings))
+    for name, renamed in named.items():
+        clashing = [c for c in renamed.columns if len(kinds[c]) > 1 and "string" in kinds[c]]
+        renamed = renamed.withColumns({c: F.col(f"`{c}`").cast("string") for c in clashing})
         frames.append(renamed.withColumn(source_column, F.lit(name)) if source_column else renamed)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 

@@ -61,3 +61,8 @@ def test_mean_of_present(spark):
     df = spark.createDataFrame([(1.0, None), (None, None), (2.0, 4.0)], "a double, b double")
     got = [r[0] for r in df.select(N.mean_of_present([F.col("a"), F.col("b")])).collect()]
     assert got == [1.0, None, 3.0]
+
+
+def test_strip_is_pythons(spark):
+    texts = [" cse ", "　x y ", "\x1cz\x85", "  ", "﻿b"]
+    assert column(spark, texts, "string", T.strip) == [t.strip() for t in texts]

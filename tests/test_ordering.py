@@ -38,7 +38,7 @@ def test_quantiles_per_measure_scale(spark, size):
     """Measures of very different scale share one table, each cut by its own points."""
     pdf = pd.DataFrame({"m": ["small"] * 300 + ["large"] * 301, "v": list(np.arange(300) / 1000) + list(np.arange(301) * 1e6)})
     counted = materialise(O.value_counts(spark.createDataFrame(pdf), "v", ["m"]))
-    rows = O.exact_quantiles(counted, "v", [0.5], ["m"], counted=True, scale_by="m", rows_per_bucket=size).collect()
+    rows = O.exact_quantiles(counted, "v", [0.5], ["m"], counted=True, rows_per_bucket=size).collect()
     assert {r["m"]: r["q0"] for r in rows} == pytest.approx(pdf.groupby("m")["v"].median().to_dict())
 
 
@@ -72,6 +72,39 @@ def test_rank_rows_nulls_last(spark):
         assert got == {3: 1, 1: 2, 2: 3}
 
 
+@pytest.mark.parametrize("size", [1, 3, 10**6])
+def test_rank_rows_keeps_the_columns_own_order(spark, size):
+    big = [2**53 + i for i in range(6)]
+    for values, kind in ((big, "long"), ([float("-inf"), None, 1.0, float("-inf")], "double"), (["b", "a", None, "b", "c"], "string")):
+        df = spark.createDataFrame(list(enumerate(values)), f"id int, v {kind}")
+        for method in ("rank", "dense_rank", "row_number"):
+            got = {r["id"]: r["rank"] for r in O.rank_rows(df, "v", method=method, ties=["id"], rows_per_bucket=size).collect()}
+            order = sorted(range(len(values)), key=lambda i: (values[i] is not None, values[i] if values[i] is not None else 0)
+                           if kind != "string" else (values[i] is not None, values[i] or ""), reverse=True)
+            order.sort(key=lambda i: values[i] is None)
+            want, distinct = {}, []
+            for place, i in enumerate(order, 1):
+                if not distinct or distinct[-1][0] != values[i]:
+                    distinct.append((values[i], place))
+                want[i] = {"rank": distinct[-1][1], "dense_rank": len(distinct)}.get(method)
+            if method == "row_number":
+                by_value = {}
+                for i in order:
+                    by_value.setdefault(values[i], []).append(i)
+                numbered = [i for v in dict.fromkeys(values[i] for i in order) for i in sorted(by_value[v])]
+                want = {i: n for n, i in enumerate(numbered, 1)}
+            assert got == want
+
+
+def test_groups_of_disjoint_ranges_are_split(spark):
+    pdf = pd.DataFrame({"g": [i // 100 for i in range(4000)], "v": [float(i) for i in range(4000)]})
+    counted = materialise(O.value_counts(spark.createDataFrame(pdf), "v", ["g"]))
+    largest = O._ranged(counted, [counted["g"], counted["v"]], 10).groupBy("g", O._BUCKET).count().agg({"count": "max"}).first()[0]
+    assert largest <= 30
+    got = {r["g"]: r["q0"] for r in O.exact_quantiles(counted, "v", [0.5], ["g"], counted=True, rows_per_bucket=10).collect()}
+    assert got == pdf.groupby("g")["v"].median().to_dict()
+
+
 def test_dense_rank_top_keeps_ties(skewed):
     pdf, df = skewed
     got = {r["id"]: r["rank"] for r in O.dense_rank_top(df, "v", 3).collect()}

@@ -100,3 +100,17 @@ def test_load_counts(spark, tmp_path):
     stored, counts = tables.load_counts({"a": spark.range(5), "b": spark.range(0)}, f"file:{tmp_path}/load")
     assert {r["table_name"]: r["rows_loaded"] for r in counts.collect()} == {"a": 5, "b": 0}
     assert stored["a"].agg(F.sum("id")).first()[0] == 10
+
+
+def test_harmonise_clashing_types(spark):
+    a = spark.createDataFrame([("x", 1.5)], "`Student Name` string, `Internal 1` double")
+    b = spark.createDataFrame([("y", "absent")], "name string, `Internal-1` string")
+    rows = naming.harmonise({"a": a, "b": b}).orderBy("student_name").collect()
+    assert [r.internal_1 for r in rows] == ["1.5", "absent"]
+
+
+def test_every_missing_token(spark, tmp_path):
+    path = tmp_path / "tokens.csv"
+    tokens = ["n/a", "#N/A", "#NA", "<NA>", "-nan", "1.#IND", '""', "NULL"]
+    path.write_text("k,v\n" + "".join(f"{i},{t}\n" for i, t in enumerate(tokens)))
+    assert [r.v for r in files.scan_csv(spark, str(path), "k int, v string").collect()] == [None] * len(tokens)

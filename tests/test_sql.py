@@ -23,6 +23,19 @@ def test_runs_over_named_tables(spark):
     assert sql_readonly(spark, "select sum(id) as s from numbers;", {"numbers": spark.range(4)}).first()["s"] == 6
 
 
+@pytest.mark.parametrize("query", ["select * from text.`/etc/hostname`", "with a as (select * from parquet.`/x`) select * from a",
+                                   "select * from numbers where id in (select length(value) from csv.`file:///x`)"])
+def test_files_are_refused(spark, query):
+    with pytest.raises(ValueError, match="refused"):
+        sql_readonly(spark, query, {"numbers": spark.range(4)})
+
+
+def test_comments_may_lead(spark):
+    query = "-- sum\n/* of all */ select sum(id) as s from default.numbers_in_default"
+    check_read_only(query)
+    assert sql_readonly(spark, "/* a */ -- b\nselect sum(id) as s from numbers", {"numbers": spark.range(4)}).first()["s"] == 6
+
+
 def test_ready_made_queries_are_read_only():
     for query in [*canned_queries().values(), *explorer_queries().values()]:
         check_read_only(query)

@@ -23,11 +23,28 @@ def test_histogram_of_a_constant(spark):
 
 
 @pytest.mark.parametrize("t, dof, p", [
-    (2.0, 10, 0.07338803477074037), (0.0, 5, 1.0), (12.706204736432095, 1, 0.05), (1.959963984540054, 1e9, 0.05),
+    (2.0, 10, 0.07338803477074037), (0.0, 5, 1.0), (12.706204736432095, 1, 0.05), (1.959963984540054, 1e9, 0.05000000027729),
     (3.169272672616872, 10, 0.01), (math.inf, 3, 0.0), (1.0, 1, 0.5),
 ])
 def test_p_value(t, dof, p):
-    assert S._two_sided_p(t, dof) == pytest.approx(p, rel=1e-9)
+    assert S.two_sided_p([t], [dof])[0] == pytest.approx(p, rel=1e-9)
+
+
+@pytest.mark.parametrize("dof", [5, 10**3, 10**6, 10**8, 10**10])
+def test_p_value_has_one_formula(dof):
+    """Against the expansion around the normal tail, whose terms vanish with the degrees of freedom."""
+    for t in (0.001, 1.0, 5.0, 20.0):
+        got = S.two_sided_p([t], [dof])[0]
+        if dof < 100:  # the finite series of odd degrees of freedom
+            u, c = math.atan2(t, math.sqrt(dof)), math.cos(math.atan2(t, math.sqrt(dof)))
+            want = 1 - 2 / math.pi * (u + math.sin(u) * (c + 2 / 3 * c**3))
+            assert got == pytest.approx(want, abs=1e-12)
+        else:
+            a = dof - 0.5
+            z = math.sqrt(a * math.log1p(t * t / dof))
+            z += (z**3 + 3 * z - (4 * z**7 + 33 * z**5 + 240 * z**3 + 855 * z) / (480 * a * a + 8 * z**4 * 10 + 1000)) / (48 * a * a)
+            assert got == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-6)
+    assert math.isnan(S.two_sided_p([math.nan], [dof])[0])
 
 
 def test_pearson_and_spearman(spark):
