@@ -1,9 +1,11 @@
 """Classes of near copies: bands joined in Spark, candidates verified, links followed to components.
 
 Equal texts are one node (a 128-bit hash of the text). Nodes that share a band meet in a bucket. A bucket of n nodes
-does not make n * n pairs: every node is verified against the bucket's head, linked nodes become components, and only
-where a bucket still holds several components every node is verified against the heads of the other components, until a
-pass finds no new link. Components come from label passing with shortcuts. Every pass is a written table in the
+does not make n * n pairs: every node is verified against the bucket's head, the node that meets most others, and
+linked nodes become components. Where a bucket still holds several components and at most ``EACH`` nodes, all its pairs
+across components are verified, which is at most EACH / 2 a node. In a larger one the next head is verified against
+all nodes of other components, pass by pass, until a pass over all buckets finds no new link. A node stands in as many
+buckets as it has bands, each with heads of its own. Components come from label passing with shortcuts. Every pass is a written table in the
 shared folder, nothing is collected but counts.
 """
 
@@ -19,6 +21,7 @@ from scorewright.llm.common import slices, whole_text
 from scorewright.llm.shingles import mix, shingle_hashes
 from scorewright.session import materialise
 
+EACH = 32
 Bands = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
@@ -87,35 +90,51 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
+def _heads(members: DataFrame) -> DataFrame:
+    """(band, head): of each bucket the node that meets most others in all its buckets."""
+    best = F.min(F.struct((-F.col("weight")).alias("order"), "node"))
+    return members.groupBy("band").agg(best.alias("best")).select("band", F.col("best.node").alias("head"))
+
+
 def near_classes(docs: DataFrame, bands_of: Bands, similarity, similar: float) -> DataFrame:
     """Per document: doc_id, node, label (a node of its class) and class_id, the least id in the class (null ids aside)."""
     sketches = materialise(_sketches(docs, bands_of), "sketches")
     nodes = materialise(sketches.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("band"))
-    heads = rows.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
-    shared = materialise(rows.join(heads, "band"), "buckets")  # buckets of two nodes and more
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialise(rows.join(sizes, "band"), "buckets")  # buckets of two nodes and more
+    weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    shared = materialise(shared.join(weights, "node"), "buckets")
     met = shared.select("node").distinct().join(nodes.select("node", "first"), "node")
     texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), node().alias("node"), whole_text().alias("text"))
              .join(met.select(F.col("node").alias("of"), "first").hint("shuffle_hash"),
                    F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("node") == F.col("of"))).select("node", "text"))
     texts = materialise(texts, "texts")
-    pairs = shared.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    used = materialise(_heads(shared), "heads")
+    pairs = shared.join(used, "band").where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     tested = materialise(pairs, "pairs")
     links = materialise(_verified(tested, texts, similarity, similar), "links")
+    small_done = False
     while True:
         labels = components(links)
-        own = shared.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-        parts = own.groupBy("band", "label").agg(F.min("node").alias("head"))
-        split = parts.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-        parts = parts.join(split, "band").select("band", F.col("label").alias("other"), "head")
-        fresh = (own.join(parts, "band").where("label != other").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
-                 .distinct())
+        own = shared.join(labels, "node", "left").select("band", "node", "n", "weight", F.coalesce("label", "node").alias("label"))
+        split = own.groupBy("band", "label").count().groupBy("band").agg(F.count("*").alias("parts")).where("parts > 1").select("band")
+        own = materialise(own.join(split, "band"), "split")  # buckets of several components
+        large = own.where(F.col("n") > EACH)
+        heads = materialise(_heads(large.join(used.withColumnRenamed("head", "node"), ["band", "node"], "left_anti")), "heads")
+        of = large.select("band", F.col("node").alias("head"), F.col("label").alias("other"))
+        fresh = large.join(heads.join(of, ["band", "head"]), "band").where("label != other").select("node", "head")
+        if not small_done:
+            small = own.where(F.col("n") <= EACH)
+            others = small.select("band", F.col("node").alias("head"), F.col("label").alias("other"))
+            fresh, small_done = fresh.union(small.join(others, "band").where("label < other").select("node", "head")), True
+        fresh = fresh.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
         before = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         fresh = materialise(fresh.join(before, ["a", "b"], "left_anti"), "pairs")
         found = materialise(_verified(fresh, texts, similarity, similar), "links")
         if found.isEmpty():
             break
-        tested, links = tested.unionByName(fresh), links.unionByName(found)
+        used, tested, links = used.unionByName(heads), tested.unionByName(fresh), links.unionByName(found)
     firsts = nodes.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     classes = firsts.groupBy("label").agg(F.min("first").alias("class_id"))
     by_node = materialise(firsts.join(classes, "label").select("node", "label", "class_id"), "classes")
