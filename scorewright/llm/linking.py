@@ -43,7 +43,7 @@ def _sketches(docs: DataFrame, bands_of: Bands) -> DataFrame:
     """doc_id, node and bands of every document."""
 
     def sketch(batches):
-        for batch in slices(batches, "text", 2_000_000):
+        for batch in slices(batches, "text", 1_000_000):
             values, counts = bands_of(batch.column("text"))
             offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -59,7 +59,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity, similar: float) ->
 
     def verify(batches):
         known, head = None, np.zeros(0, np.uint64)
-        for batch in slices(slices(batches, "text_a", 1_000_000), "text_b", 4_000_000):
+        for batch in slices(slices(batches, "text_a", 500_000), "text_b", 1_000_000):
             hashes, counts = shingle_hashes(batch.column("text_a"))
             ends = np.cumsum(counts)
             keep = []

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 
 WORDS = 5
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_STRETCH = 2_000_000
+_STRETCH = 250_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
