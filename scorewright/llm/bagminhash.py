@@ -87,9 +87,17 @@ def _bands(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return band_hashes(times.view(np.uint64), BANDS, ROWS, counts > 0)
 
 
+def numbered(hashes: np.ndarray) -> np.ndarray:
+    """The multiset as a set: a further occurrence of a shingle is an element of its own."""
+    values = np.sort(hashes)
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+    turn = np.arange(len(values)) - np.repeat(first, np.diff(first, append=len(values)))
+    return np.where(turn > 0, mix(values + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), values)
+
+
 def copy_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Per document: doc_id, node (hash of its text), label (of its class), class_id."""
-    return near_classes(docs, _bands, weighted_jaccard, similar)
+    return near_classes(docs, _bands, weighted_jaccard, similar, numbered)
 
 
 def deduplicated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

@@ -4,9 +4,13 @@ Equal texts are one node (a 128-bit hash of the text). Nodes that share a band m
 does not make n * n pairs: every node is verified against the bucket's head, the node that meets most others, and
 linked nodes become components. Where a bucket still holds several components and at most ``EACH`` nodes, all its pairs
 across components are verified, which is at most EACH / 2 a node. In a larger one the next head is verified against
-all nodes of other components, pass by pass, until a pass over all buckets finds no new link. A node stands in as many
-buckets as it has bands, each with heads of its own. Components come from label passing with shortcuts. Every pass is a written table in the
-shared folder, nothing is collected but counts.
+all nodes of other components, pass by pass, while a pass over all buckets finds links. What large buckets then hold of
+several components is settled exactly by prefix filtering: two sets of sizes s and t and a Jaccard similarity of
+``similar`` or more share o >= similar / (1 + similar) * (s + t) shingles, so in any common order of shingles the first
+s - o + 1 of one and t - o + 1 of the other share one. The order is by rarity, so that few others share it; every such
+pair across components is verified. A multiset counts as the set of its numbered shingles. A node stands in as many
+buckets as it has bands, each with heads of its own. Components come from label passing with shortcuts. Every pass is a
+written table in the shared folder, nothing is collected but the counts of ``CELLS`` cells of shingle hashes.
 """
 
 from __future__ import annotations
@@ -22,7 +26,9 @@ from scorewright.llm.shingles import mix, shingle_hashes
 from scorewright.session import materialise
 
 EACH = 32
+CELLS = 1 << 18
 Bands = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+Elements = Callable[[np.ndarray], np.ndarray]
 
 
 def node() -> Column:
@@ -96,7 +102,63 @@ def _heads(members: DataFrame) -> DataFrame:
     return members.groupBy("band").agg(best.alias("best")).select("band", F.col("best.node").alias("head"))
 
 
-def near_classes(docs: DataFrame, bands_of: Bands, similarity, similar: float) -> DataFrame:
+def _elements(batch: pa.RecordBatch, elements_of: Elements) -> list[np.ndarray]:
+    hashes, counts = shingle_hashes(batch.column("text"))
+    return [elements_of(part) for part in np.split(hashes, np.cumsum(counts)[:-1])]
+
+
+def _cell(elements: np.ndarray) -> np.ndarray:
+    return (mix(elements) % np.uint64(CELLS)).astype(np.int64)
+
+
+def rare_pairs(texts: DataFrame, elements_of: Elements, similar: float) -> DataFrame:
+    """Pairs (a, b) of nodes with different labels, among them all of a Jaccard similarity of ``similar``.
+
+    ``texts`` has node, label and text; ``elements_of`` makes the distinct elements of a text of its shingles.
+    """
+
+    def count(batches):
+        total = np.zeros(CELLS, np.int64)
+        for batch in slices(batches, "text", 1_000_000):
+            for elements in _elements(batch, elements_of):
+                np.add.at(total, _cell(elements), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    cells = texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    common = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def first(batches):
+        for batch in slices(batches, "text", 1_000_000):
+            parts, places, sizes = [], [], []
+            for elements in _elements(batch, elements_of):
+                n = len(elements)
+                long = n - int(np.ceil(similar * n - 1e-6)) + 1 if n else 0
+                parts.append(elements[np.lexsort((elements, common.value[_cell(elements)]))[:long]])
+                places.append(np.arange(len(parts[-1]), dtype=np.int32))
+                sizes.append(n)
+            many = np.array([len(p) for p in parts])
+            of = pa.array(np.repeat(np.arange(len(parts)), many))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(parts).view(np.int64)), batch.column("node").take(of), batch.column("label").take(of),
+                 pa.array(np.repeat(np.array(sizes, np.int32), many)), pa.array(np.concatenate(places))],
+                ["element", "node", "label", "size", "place"])
+
+    rows = materialise(texts.select("node", "label", "text")
+                       .mapInArrow(first, "element long, node binary, label binary, size int, place int"), "prefixes")
+    across = rows.groupBy("element").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("element")
+    rows = materialise(rows.join(across, "element"), "prefixes")
+    a, b = (rows.select("element", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "size", "place")]) for side in "ab")
+    both = F.ceil((F.col("size_a") + F.col("size_b")) * F.lit(similar / (1 + similar)) - 1e-6)
+    near = ((a.element == b.element) & (F.col("label_a") != F.col("label_b"))
+            & ((F.col("size_a") < F.col("size_b")) | (F.col("size_a") == F.col("size_b")) & (F.col("node_a") < F.col("node_b")))
+            & (F.col("place_a") <= F.col("size_a") - both) & (F.col("place_b") <= F.col("size_b") - both))
+    return a.join(b, near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def near_classes(docs: DataFrame, bands_of: Bands, similarity, similar: float, elements_of: Elements) -> DataFrame:
     """Per document: doc_id, node, label (a node of its class) and class_id, the least id in the class (null ids aside)."""
     sketches = materialise(_sketches(docs, bands_of), "sketches")
     nodes = materialise(sketches.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "nodes")
@@ -135,6 +197,14 @@ def near_classes(docs: DataFrame, bands_of: Bands, similarity, similar: float) -
         if found.isEmpty():
             break
         used, tested, links = used.unionByName(heads), tested.unionByName(fresh), links.unionByName(found)
+    left = materialise(large.groupBy("node").agg(F.first("label").alias("label")), "left")
+    if not left.isEmpty():  # large buckets of several components
+        fresh = rare_pairs(texts.join(left, "node"), elements_of, similar)
+        before = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        fresh = materialise(fresh.join(before, ["a", "b"], "left_anti"), "pairs")
+        found = materialise(_verified(fresh, texts, similarity, similar), "links")
+        if not found.isEmpty():
+            labels = components(links.unionByName(found))
     firsts = nodes.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     classes = firsts.groupBy("label").agg(F.min("first").alias("class_id"))
     by_node = materialise(firsts.join(classes, "label").select("node", "label", "class_id"), "classes")

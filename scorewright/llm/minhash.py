@@ -139,4 +139,4 @@ def _bands(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def similar_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Per document: doc_id and class_id, the least id of the documents linked to it by a Jaccard similarity of ``similar``."""
-    return near_classes(docs, _bands, jaccard, similar)
+    return near_classes(docs, _bands, jaccard, similar, np.unique)
