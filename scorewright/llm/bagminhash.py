@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from scorewright.llm.linking import band_hashes, near_classes, node
-from scorewright.llm.shingles import mix, shingle_hashes
+from scorewright.llm.shingles import mix, whole_shingles
 
 BANDS = 25
 ROWS = 5
@@ -82,7 +82,7 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _bands(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    hashes, counts = shingle_hashes(texts)
+    hashes, counts = whole_shingles(texts)
     times = signatures(hashes, counts, BANDS * ROWS)
     return band_hashes(times.view(np.uint64), BANDS, ROWS, counts > 0)
 

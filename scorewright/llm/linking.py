@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scorewright.llm.common import slices, whole_text
-from scorewright.llm.shingles import mix, shingle_hashes
+from scorewright.llm.shingles import mix, whole_shingles
 from scorewright.session import materialise
 
 EACH = 32
@@ -66,12 +66,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity, similar: float) ->
     def verify(batches):
         known, head = None, np.zeros(0, np.uint64)
         for batch in slices(slices(batches, "text_a", 500_000), "text_b", 1_000_000):
-            hashes, counts = shingle_hashes(batch.column("text_a"))
+            hashes, counts = whole_shingles(batch.column("text_a"))
             ends = np.cumsum(counts)
             keep = []
             for i, (b, text) in enumerate(zip(batch.column("b").to_pylist(), batch.column("text_b"))):
                 if b != known:  # pairs of one head come together
-                    known, head = b, shingle_hashes(pa.array([text.as_py()], pa.string()))[0]
+                    known, head = b, whole_shingles(pa.array([text.as_py()], pa.string()))[0]
                 keep.append(similarity(hashes[ends[i] - counts[i]:ends[i]], head) >= similar)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -103,7 +103,7 @@ def _heads(members: DataFrame) -> DataFrame:
 
 
 def _elements(batch: pa.RecordBatch, elements_of: Elements) -> list[np.ndarray]:
-    hashes, counts = shingle_hashes(batch.column("text"))
+    hashes, counts = whole_shingles(batch.column("text"))
     return [elements_of(part) for part in np.split(hashes, np.cumsum(counts)[:-1])]
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from scorewright.llm.common import slices, tasks, whole_text
 from scorewright.llm.linking import band_hashes, near_classes
-from scorewright.llm.shingles import shingle_hashes
+from scorewright.llm.shingles import whole_shingles
 
 SLOTS = 128
 BANDS = 25
@@ -35,7 +35,7 @@ def hash_family(slots: int = SLOTS, seed: int = 5) -> tuple[np.ndarray, np.ndarr
 
 def signatures(texts: pa.Array, slots: int = SLOTS) -> np.ndarray:
     """One row of ``slots`` 32-bit values per text."""
-    hashes, counts = shingle_hashes(texts)
+    hashes, counts = whole_shingles(texts)
     short = (hashes >> np.uint64(32)).astype(np.uint32)
     multiply, add = hash_family(slots)
     out = np.full((len(counts), slots), _EMPTY)

@@ -1,8 +1,8 @@
 """Hashes of five-word shingles for many texts at once, in numpy.
 
 Words are the stretches between ASCII white space of the lower-case text. A word's hash is a polynomial of its bytes
-modulo 2^64, taken from running sums over a stretch of text; a shingle's hash mixes those of its words in order. The
-first words of a text are preceded by blanks, so that a text of n words has n shingles and short texts have some.
+modulo 2^64, taken from running sums over a stretch of text; a shingle's hash mixes those of its words in order. A text
+of n words has n - 4 shingles; one of fewer than five words has a single one, preceded by blanks.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_hashes(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles, one per word, and how many each text has; ordered as in the texts."""
+    """Hashes of the shingles that end at each word, the first ones preceded by blanks, and how many each text has."""
     hashes, counts = word_hashes(texts)
     place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
     out = np.zeros(len(hashes), np.uint64)
@@ -82,3 +82,10 @@ def shingle_hashes(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.
         part[place < back] = 0
         out = mix(out ^ part) + np.uint64(back)
     return out, counts
+
+
+def whole_shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all whole shingles and how many each text has; of a shorter text the one that ends at its last word."""
+    hashes, counts = shingle_hashes(texts, words)
+    place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return hashes[place >= np.repeat(np.minimum(counts, words) - 1, counts)], np.maximum(counts - words + 1, np.minimum(counts, 1))

@@ -1,12 +1,14 @@
 """Hot buckets and edges of shingles, against brute force on plain shingles."""
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from scorewright.llm import bagminhash, linking, minhash
+from scorewright.llm import bagminhash, linking, minhash, shingles
 
 KINDS = [(bagminhash.weighted_jaccard, bagminhash.numbered, True), (minhash.jaccard, np.unique, False)]
 
@@ -29,7 +31,7 @@ def templated(many=300, hidden=10, seed=8):
 
 
 def hashed(text):
-    return linking.shingle_hashes(linking.pa.array([text]))[0]
+    return shingles.whole_shingles(pa.array([text], pa.string()))[0]
 
 
 @pytest.mark.parametrize("similarity, elements, weighted", KINDS)
@@ -58,3 +60,27 @@ def test_prefixes_lose_no_pair(spark, similarity, elements, weighted):
     bags = [hashed(t) for t in texts]
     near = {(i, j) for i, j in combinations(range(len(texts)), 2) if len(bags[i]) and len(bags[j]) and similarity(bags[i], bags[j]) >= 0.8}
     assert near and near <= pairs
+
+
+def plain(text):
+    words = text.lower().split()
+    return Counter(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+
+
+def test_shingles_are_whole():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("abcde", k=n)) for n in (0, 1, 2, 4, 5, 6, 9, 20, 40)] + ["a b c d", "a b c d", ""]
+    hashes, counts = shingles.whole_shingles(pa.array(texts, pa.string()))
+    assert counts.tolist() == [plain(t).total() for t in texts]
+    parts = np.split(hashes, np.cumsum(counts)[:-1])
+    for (s, a), (t, b) in combinations(zip(texts, parts), 2):
+        both, every = (plain(s) & plain(t)).total(), (plain(s) | plain(t)).total()
+        assert bagminhash.weighted_jaccard(a, b) == (both / every if every else 1.0)
+
+
+def test_first_word_spoils_one_shingle(spark):
+    words = [f"w{i}" for i in range(20)]
+    texts = [" ".join(words), " ".join(["other", *words[1:]]), " ".join(["before", *words]), " ".join(words[:10] + [f"v{i}" for i in range(10)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for classes in (bagminhash.copy_classes, minhash.similar_classes):
+        assert sorted((r.doc_id, r.class_id) for r in classes(docs).collect()) == [(0, 0), (1, 0), (2, 0), (3, 3)]
