@@ -3,17 +3,19 @@
 The pieces and merge order come from a SentencePiece BPE model. A text is split before every space that follows
 another character (no piece of such a model goes on past one). Within a word an agenda holds the candidate merges,
 best piece first, then leftmost; each candidate is skipped with probability ``dropout``, decided by a keyed hash of
-seed, variant, word and place. The variant is drawn from the document's id, so that documents differ and any run
-gives the same ids. Without dropout the ids equal the library's. Characters without a piece become their bytes, and
+seed, document id, the word's place in the text and the candidate's turn, so that documents and occurrences differ and
+any run gives the same ids. The turns between skips are geometric and drawn as such; what a word becomes under given
+skips is cached, whatever the document. Without dropout the ids equal the library's. Characters without a piece become their bytes, and
 so does the model's space mark where a text holds it literally, so decoding always returns the text.
 
 Defined cases: a null text is empty; an empty text has no pieces. Null and repeated ids are rows of their own, a null
-id has variant 0. Other columns are ignored. An empty table gives no rows.
+id has key 0 (``variant``). Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
 from array import array
@@ -24,13 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from scorewright.llm.common import slices, whole_text
+from scorewright.llm.shingles import mix
 
 DROPOUT = 0.1
-VARIANTS = 4
 LONG = 48  # characters from which a heap is the faster agenda
 MARK = "▁"  # stands for a space
 _LITERAL = MARK + " "  # a mark that was in the text; no piece holds a space
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+_ALL = (1 << 64) - 1
 _coders: dict[tuple, "DropoutCoder"] = {}
 
 
@@ -50,7 +53,8 @@ class DropoutCoder:
         table = {i: pieces[i].replace(MARK, " ").encode() for i in plain} | {i: b for b, i in self.bytes.items()}
         self.back = [table.get(i, b"") for i in range(len(pieces))]
         self.bar, self.seed, self.limit = int(dropout * 2.0 ** 32), seed, limit
-        self.known: dict[tuple[str, int], bytes] = {}
+        self.gap = 1 / math.log1p(-dropout) if 0 < dropout < 1 else -math.inf if dropout <= 0 else 0.0
+        self.known: dict[str | tuple, tuple[int, bytes]] = {}  # by word, or (word, skipped turns): turns in all, ids
 
     def _spelled(self, part: str) -> list[int]:
         """A piece, or the bytes of a character that has none."""
@@ -108,35 +112,85 @@ class DropoutCoder:
                 offer(before[i], i)
         return [p for p in parts if p]
 
-    def segment(self, word: str, variant: int, literal: frozenset[int] = frozenset()) -> bytes:
-        """Ids of a word; ``literal`` are the places of literal marks."""
-        ids = self.ids
-        parts = [c if i not in literal else _LITERAL for i, c in enumerate(word)] if literal else list(word)
-        key = xxhash.xxh64_intdigest(word, self.seed * 1_000_003 + variant)
-        merged = self._merged(parts, key) if len(parts) <= LONG else self._merged_long(parts, key)
+    def _bytes(self, merged: list[str]) -> bytes:
         try:
-            return array("H", [ids[p] for p in merged]).tobytes()
+            return array("H", [self.ids[p] for p in merged]).tobytes()
         except KeyError:
             return array("H", [x for p in merged for x in self._spelled(p)]).tobytes()
 
+    def segment(self, word: str, key: int, literal: frozenset[int] = frozenset()) -> bytes:
+        """Ids of a word; ``literal`` are the places of literal marks."""
+        parts = [c if i not in literal else _LITERAL for i, c in enumerate(word)] if literal else list(word)
+        key = xxhash.xxh64_intdigest(word, (self.seed * 1_000_003 + key) & _ALL)
+        return self._bytes(self._merged(parts, key) if len(parts) <= LONG else self._merged_long(parts, key))
+
+    def _skipping(self, word: str, skips: tuple[int, ...]) -> tuple[int, bytes]:
+        """How many candidates have their turn if those at ``skips`` alone are skipped, and the ids then."""
+        rank, none, parts, turns = self.rank, self.none, list(word), 0
+        agenda = [rank.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == none:
+                break
+            i = agenda.index(best)
+            turns += 1
+            if turns - 1 in skips:
+                agenda[i] = none
+                continue
+            piece = parts[i] + parts[i + 1]
+            parts[i:i + 2] = [piece]
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank.get(piece + parts[i + 1], none)
+            if i:
+                agenda[i - 1] = rank.get(parts[i - 1] + piece, none)
+        return turns, self._bytes(parts)
+
+    def _known(self, key: str | tuple, word: str, skips: tuple[int, ...]) -> tuple[int, bytes]:
+        found = self.known.get(key)
+        if found is None:
+            if len(self.known) >= self.limit:
+                self.known.clear()
+            found = self.known[key] = self._skipping(word, skips)
+        return found
+
+    def _gaps(self, key: int, many: int) -> list[float]:
+        """Turns before the first skip, for each word of a document."""
+        bits = mix(np.arange(1, many + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mix(np.array([key], np.uint64)))
+        return (np.log(((bits >> np.uint64(11)) + np.uint64(1)).astype(np.float64) * 2.0 ** -53) * self.gap).tolist()
+
+    def _varied(self, word: str, key: int, place: int, gap: float) -> bytes:
+        """Ids of a word whose turn number ``gap`` is the first that is skipped."""
+        skips: tuple[int, ...] = (int(gap),)
+        while True:
+            turns, ids = self._known((word, skips), word, skips) if len(skips) < 3 else self._skipping(word, skips)
+            bits = xxhash.xxh64_intdigest(f"{place} {len(skips)}", key)
+            after = skips[-1] + 1 + int(math.log(((bits >> 11) + 1) * 2.0 ** -53) * self.gap)
+            if after >= turns:
+                return ids
+            skips += (after,)
+
     def encode(self, text: str, variant: int) -> bytes:
-        """Ids of a text as 16-bit little-endian."""
+        """Ids of a text as 16-bit little-endian; ``variant`` is the document's key."""
         if not text:
             return b""
         if MARK in text:
             return self._encode_marked(text, variant)
         words = text.split(" ")
         if "" in words:  # runs of spaces, or at an end
-            parts = [(w, variant) for w in _WORD.findall(MARK + text.replace(" ", MARK))]
+            parts = _WORD.findall(MARK + text.replace(" ", MARK))
         else:
-            parts = [(MARK + w, variant) for w in words]
-        known = self.known
-        for p in set(parts):
-            if p not in known:
-                if len(known) >= self.limit:
-                    known.clear()
-                known[p] = self.segment(*p)
-        return b"".join([known[p] if p in known else self.segment(*p) for p in parts])
+            parts = [MARK + w for w in words]
+        key = (self.seed * 1_000_003 + variant) & _ALL
+        gaps = self._gaps(key, len(parts)) if self.bar else [math.inf] * len(parts)
+        known, out = self.known, []
+        for place, (word, gap) in enumerate(zip(parts, gaps)):
+            if len(word) > LONG:
+                out.append(self.segment(word, xxhash.xxh64_intdigest(str(place), key)))
+                continue
+            turns, ids = known.get(word) or self._known(word, word, ())
+            out.append(ids if gap >= turns else self._varied(word, key, place, gap))
+        return b"".join(out)
 
     def _encode_marked(self, text: str, variant: int) -> bytes:
         whole = MARK + text.replace(" ", MARK)
@@ -155,10 +209,10 @@ def coder(path: str, dropout: float, seed: int) -> DropoutCoder:
     return _coders[key]
 
 
-def encode_pieces(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = 1, variants: int = VARIANTS) -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = 1) -> DataFrame:
     """Per document: doc_id, variant, sha256 of the text, ids (16-bit little-endian)."""
-    variant = F.when(F.col("doc_id").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(variants)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), variant.cast("int").alias("variant"),
+    variant = F.when(F.col("doc_id").isNull(), 0).otherwise(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), variant.cast("long").alias("variant"),
                        F.sha2(whole_text(), 256).alias("sha256"), whole_text().alias("text"))
 
     def encode(batches):
@@ -167,7 +221,7 @@ def encode_pieces(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: in
             ids = [encode_text(t, v) for t, v in zip(batch.column("text").to_pylist(), batch.column("variant").to_pylist())]
             yield batch.select(["doc_id", "variant", "sha256"]).append_column("ids", pa.array(ids, pa.binary()))
 
-    return rows.mapInArrow(encode, "doc_id long, variant int, sha256 string, ids binary")
+    return rows.mapInArrow(encode, "doc_id long, variant long, sha256 string, ids binary")
 
 
 def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
@@ -181,12 +235,12 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
             yield (batch.append_column("text", pa.array([decode_ids(i) for i in ids], pa.string()))
                    .append_column("ids_crc32", pa.array(crc, pa.int64())))
 
-    return encoded.mapInArrow(decode, "doc_id long, variant int, sha256 string, ids binary, text string, ids_crc32 long")
+    return encoded.mapInArrow(decode, "doc_id long, variant long, sha256 string, ids binary, text string, ids_crc32 long")
 
 
-def round_trips(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = 1, variants: int = VARIANTS) -> DataFrame:
+def round_trips(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = 1) -> DataFrame:
     """Per document: doc_id, variant, n_chars (decoded), n_pieces, ids_crc32, lossless (decoded equals the original by hash)."""
-    decoded = decode_pieces(encode_pieces(docs, path, dropout, seed, variants), path)
+    decoded = decode_pieces(encode_pieces(docs, path, dropout, seed), path)
     return decoded.select("doc_id", "variant", F.length("text").cast("long").alias("n_chars"),
                           (F.octet_length("ids") / 2).cast("long").alias("n_pieces"), "ids_crc32",
                           (F.sha2("text", 256) == F.col("sha256")).alias("lossless"))
