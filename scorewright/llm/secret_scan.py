@@ -1,10 +1,11 @@
 """Secret scan: fixed patterns, and random-looking strings by two character Markov models.
 
 The models are first-order over ASCII characters: one of random strings, one of ordinary words and identifiers. A
-candidate string is a secret if its log-likelihood ratio, in total and per character, passes the thresholds and it
-lies outside the fixed patterns' spans. Training strings are labelled by the patterns: their values in a bounded
+run of characters is a secret if its log-likelihood ratio, in total and per character, passes the thresholds; of a run
+that fixed spans overlap, what they leave is one if the whole run or it alone passes. Training strings are labelled by the patterns: their values in a bounded
 sample of documents (``sample`` of them, by a hash of the id) are random strings, together with seeded random ones of
-common alphabets, so that every table has some; the other words of the sample are ordinary.
+common alphabets, so that every table has some; the other words of the sample are ordinary, as written and in capitals,
+together with identifiers, dates and rules of one repeated mark.
 
 Defined cases: a null or empty text has no span. Spans are in code points, end exclusive. Overlapping spans of
 different patterns all stay. Null and repeated ids are rows of their own. Other columns are ignored by ``scan`` and
@@ -37,8 +38,11 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _WORD = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
 _ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-              "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+              "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz",
+              "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789-")
 _IDENTIFIERS = ("identifier", "configuration_value", "HttpRequestHandler", "max-retry-count", "getElementById", "utf8_decode2")
+_DATES = tuple(f"{y}-{m:02}-{d:02}" for y in range(1990, 2040) for m in range(1, 13) for d in (1, 9, 17, 25, 30))
+_RULES = tuple(c * 100 for c in "-_=+/") * 50
 Span = tuple[int, str, int]  # start, kind, end
 
 
@@ -107,7 +111,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> MarkovPair:
             for text in batch.column("text").to_pylist():
                 for label, strings in enumerate(labelled_strings(text)):
                     for string in strings:
-                        pairs.update((label, p) for p in _pairs(string))
+                        for form in {string, string.upper()} if label else (string,):
+                            pairs.update((label, p) for p in _pairs(form))
             yield pa.RecordBatch.from_pydict({"label": pa.array([k[0] for k in pairs], pa.int32()),
                                               "pair": pa.array([k[1] for k in pairs], pa.int32()),
                                               "n": pa.array(list(pairs.values()), pa.int64())})
@@ -116,28 +121,35 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> MarkovPair:
     random_pairs, ordinary_pairs = Counter(), Counter()
     for row in summed.collect():
         (ordinary_pairs if row.label else random_pairs)[row.pair] = row.n
-    for strings, into in ((random_strings(), random_pairs), (_IDENTIFIERS, ordinary_pairs)):
+    for strings, into in ((random_strings(), random_pairs), (_IDENTIFIERS + _DATES + _RULES, ordinary_pairs)):
         for string in strings:
             into.update(_pairs(string))
     return MarkovPair(random_pairs, ordinary_pairs)
 
 
+def _random(string: str, model: MarkovPair) -> bool:
+    return len(string) >= LEAST_CHARS and (ratio := model(string)) >= IN_ALL and ratio >= PER_CHAR * len(string)
+
+
 def all_spans(text: str, model: MarkovPair) -> list[Span]:
     spans = base_spans(text)
-    if not (runs := _RUN.findall(text)) or not any(_odd(r) for r in runs):
-        return spans
-    taken = [(s, e) for s, _, e in spans]
+    found = []
     for m in _RUN.finditer(text):
-        if _odd(m[0]) and not any(s < m.end() and m.start() < e for s, e in taken):
-            ratio = model(m[0])
-            if ratio >= IN_ALL and ratio >= PER_CHAR * len(m[0]):
-                spans.append((m.start(), "markov", m.end()))
-    return sorted(spans, key=lambda s: (s[0], KINDS.index(s[1])))
-
-
-def _odd(run: str) -> bool:
-    """Letters and digits mixed."""
-    return not run.isalpha() and any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+        begin, end = m.span()
+        over = [s for s in spans if s[0] < end and begin < s[2]]
+        # an assigned value reaches to the run's end, and before it stands its name
+        end = min([end, *(max(begin, s) for s, kind, _ in over if kind == "assign")])
+        free, at = [], begin
+        for start, _, stop in over:
+            if at < min(start, end):
+                free.append((at, min(start, end)))
+            at = max(at, stop)
+        if at < end:
+            free.append((at, end))
+        if free:
+            whole = _random(text[begin:end], model)
+            found += [(a, "markov", b) for a, b in free if whole or _random(text[a:b], model)]
+    return sorted(spans + found, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
 def _joined(spans: list[Span]) -> str:
