@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from scorewright.llm import (
-    bagminhash, grammar_store, line_windows, merge_dropout, minhash, nearest_toxic, packing, rule_ensemble, secret_scan, shallot,
-    turn_repair, weak_rules,
+    bagminhash, bwt_merge, grammar_store, line_windows, merge_dropout, minhash, nearest_toxic, packing, rule_ensemble, secret_scan,
+    shallot, turn_repair, weak_rules,
 )
 
 
@@ -60,6 +60,10 @@ def op10_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge(_docs(spark, sf_dir))
 
 
+def op11_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_merge.removals(_docs(spark, sf_dir))
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return turn_repair.audits(turn_repair.damaged(rows), rows)
@@ -71,5 +75,5 @@ def op13_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_rule_ensemble, op2_repair_store, op3_nearest_toxic, op4_bagminhash, op5_line_windows, op6_markov_secrets, op7_residual_packing,
-    op8_minhash, op9_merge_dropout, op10_weak_rules, op12_turn_repair, op13_shallot)}
+    op8_minhash, op9_merge_dropout, op10_weak_rules, op11_bwt_merge, op12_turn_repair, op13_shallot)}
 ORACLES: dict[str, str] = {"op5_line_windows": line_windows.ORACLE, "op13_shallot": shallot.ORACLE}
