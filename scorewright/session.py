@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _staged: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -32,15 +35,40 @@ def work_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the work folder that no earlier write has used."""
-    return f"{work_dir(spark)}/scorewright/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/scorewright/{label}-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """Shuffle files of what runs inside are deleted as each job's query ends, not when the driver collects garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the work folder and return the table read back."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    _staged.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    with _shuffles_dropped(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame], label: str = "stage") -> DataFrame:
+    """The table that ``build`` makes, written; intermediate tables that it staged on the way are deleted."""
+    mark = len(_staged)
+    out = materialise(build(), label)
+    made = _staged[mark:]
+    del _staged[mark:]
+    _staged.append(made.pop())
+    _delete(spark, made)
+    return out
 
 
 def release_stages(spark: SparkSession) -> int:
@@ -48,10 +76,16 @@ def release_stages(spark: SparkSession) -> int:
 
     Call it when no DataFrame built on them is needed any more.
     """
+    paths = _staged[:]
+    _staged.clear()
+    return _delete(spark, paths)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     released = 0
-    while _staged:
-        target = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+    for path in reversed(paths):
+        target = jvm.org.apache.hadoop.fs.Path(path)
         released += bool(target.getFileSystem(conf).delete(target, True))
     return released
