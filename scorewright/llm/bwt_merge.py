@@ -33,14 +33,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from scorewright.llm.common import slices, whole_text
+from scorewright.llm.common import slices, tasks, whole_text
 from scorewright.llm.shingles import mix
-from scorewright.session import materialise
+from scorewright.session import materialise, settled
 
 LENGTH = 400
 WORD = 8
+_STEP = 32  # strings of an anchor that are shuffled together
 _PLACES = 20  # bits of a place in a shard
 _ROOM = 1 << _PLACES
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -61,7 +62,7 @@ def window_of(length: int) -> int:
     """Places of a window: few enough that a string of ``length`` bytes fixes at least one whole symbol."""
     if length < 3 * WORD:
         raise ValueError(f"strings must have {3 * WORD} bytes at least")
-    return (length - WORD) * 160 // 392
+    return (length - WORD) * 180 // 392
 
 
 class Stretches:
@@ -197,12 +198,21 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8), offsets
 
 
-_ANCHORS = "key binary, low int, high int, name long, context long, many int"
+_ANCHORS = "key binary, place long, name long, context long"
+
+
+def _placed(low, at, high, many) -> np.ndarray:
+    """One number of: the first start, how far the anchor and the last start are from it, whether equal texts have it too."""
+    return low << 33 | (at - low) << 17 | (high - low) << 1 | (many > 1)
+
+
+def _unplaced(place: np.ndarray):
+    low = (place.view(np.uint64) >> np.uint64(33)).astype(np.int64)
+    return low, low + (place >> 17 & 0xFFFF), low + (place >> 1 & 0xFFFF)
 
 
 def anchor_blocks(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Of (key, text as binary): the strings of each anchor (starts ``low`` to ``high``), its block, its context and how
-    many equal texts of a slice have it."""
+    """Of (key, text as binary): where the strings of each anchor start, its block and its context."""
 
     def cut(batches):
         for batch in slices(batches, "text", 4_000_000):
@@ -214,52 +224,55 @@ def anchor_blocks(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 begin = np.array([offsets[once[t]] + b for t, b, _ in part])
                 sizes = np.array([e - b for _, b, e in part])
                 edges = np.concatenate(([0], np.cumsum(sizes)))
-                joined = np.concatenate([data[b:b + s] for b, s in zip(begin, sizes)])
-                shard = Shard(joined, edges, length)
+                shard = Shard(np.concatenate([data[b:b + s] for b, s in zip(begin, sizes)]), edges, length)
                 of = np.searchsorted(edges, shard.low, "right") - 1
-                shift = np.array([b for _, b, _ in part]) - edges[:-1]
-                row = [once[t] for t, _, _ in part]
+                shift = (np.array([b for _, b, _ in part]) - edges[:-1])[of]
+                of_key = [keys[once[t]] for t, _, _ in part]
+                place = _placed(shard.low + shift, shard.anchors[shard.of] + shift, shard.high + shift, np.array([many[k] for k in of_key])[of])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([keys[r] for r in row], pa.binary()).take(pa.array(of)),
-                     pa.array((shard.low + shift[of]).astype(np.int32)), pa.array((shard.high + shift[of]).astype(np.int32)),
-                     pa.array(shard.names().view(np.int64)), pa.array(shard.contexts().view(np.int64)),
-                     pa.array(np.array([many[keys[r]] for r in row], np.int32)[of])],
-                    ["key", "low", "high", "name", "context", "many"])
+                    [pa.array(of_key, pa.binary()).take(pa.array(of)), pa.array(place), pa.array(shard.names().view(np.int64)),
+                     pa.array(shard.contexts().view(np.int64))], ["key", "place", "name", "context"])
 
     return texts.mapInArrow(cut, _ANCHORS)
 
 
 def strings_of(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Of (key, open, text): name, hash and start of each string of the anchors in ``open``."""
+    """Of (key, anchors, text): hashes of the strings of each anchor, ``_STEP`` distances from the anchor to a row.
+
+    ``part`` numbers the rows of an anchor by distance, ``start`` is where the first string of the row begins.
+    """
 
     def spell(batches):
         for batch in slices(batches, "text", 2_000_000):
             data, offsets = _bytes(batch.column("text"))
             keys, rows, used = batch.column("key"), [], 0
-            for i, anchors in enumerate(batch.column("open").to_pylist()):
+            for i, anchors in enumerate(batch.column("anchors").to_pylist()):
                 for a in anchors:
-                    rows.append((i, a["low"], a["high"], a["name"], a["open"]))
-                    used += a["high"] + length - a["low"]
-                    if used > _ROOM - 2 * length:
+                    low, at, high = (int(x) for x in _unplaced(np.int64([a["place"]])))
+                    for part in range((at - high) // _STEP, (at - low) // _STEP + 1):
+                        b, e = max(low, at - _STEP * part - _STEP + 1), min(high, at - _STEP * part)
+                        rows.append((i, b, e, a["name"], part, a["open"]))
+                        used += e + length - b
+                    if used > _ROOM - 2 * length - 66_000:
                         yield _spelled(data, offsets, keys, rows)
                         rows, used = [], 0
             if rows:
                 yield _spelled(data, offsets, keys, rows)
 
     def _spelled(data, offsets, keys, rows):
-        of, low, high, name, alone = (np.array(c) for c in zip(*rows))
+        of, low, high, name, part, alone = (np.array(c) for c in zip(*rows))
         sizes = high + length - low
         edges = np.concatenate(([0], np.cumsum(sizes)))
         hashes = Stretches(np.concatenate([data[b:b + s] for b, s in zip(offsets[of] + low, sizes)]), 1)
         many = high - low + 1
-        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        begin = np.repeat(edges[:-1], many) + step
+        ends = np.cumsum(many)
+        begin = np.repeat(edges[:-1], many) + np.arange(ends[-1]) - np.repeat(ends - many, many)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(hashes(begin, begin + length).view(np.int64)))
         return pa.RecordBatch.from_arrays(
-            [keys.take(pa.array(np.repeat(of, many))), pa.array(np.repeat(name, many)),
-             pa.array(hashes(begin, begin + length).view(np.int64)), pa.array((np.repeat(low, many) + step).astype(np.int32)),
-             pa.array(np.repeat(alone, many))], ["key", "name", "hash", "low", "open"])
+            [keys.take(pa.array(of)), pa.array(name), pa.array(part.astype(np.int32)), pa.array(low.astype(np.int32)), lists, pa.array(alone)],
+            ["key", "name", "part", "start", "hashes", "open"])
 
-    return texts.mapInArrow(spell, "key binary, name long, hash long, low int, open boolean")
+    return texts.mapInArrow(spell, "key binary, name long, part int, start int, hashes array<long>, open boolean")
 
 
 def text_key():
@@ -268,22 +281,35 @@ def text_key():
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, low, high): in texts of this key, all strings that start from ``low`` to ``high`` also start elsewhere."""
+    """Per text ``key`` with any: ``runs``, numbers of low << 17 | high - low; all strings of the text that start from low to
+    high also start elsewhere."""
     texts = docs.select(text_key().alias("key"), whole_text().cast("binary").alias("text")).where(F.octet_length("text") >= length)
-    anchors = materialise(anchor_blocks(texts, length), "anchors")
-    blocks = (anchors.groupBy("name").agg(F.sum("many").alias("n"), F.min("context").alias("c"), F.max("context").alias("d"))
-              .where("n > 1").select("name", (F.col("c") == F.col("d")).alias("alike")))
-    met = materialise(anchors.join(blocks, "name"), "intervals")
+    met = settled(docs.sparkSession, lambda: _intervals(texts, length), "intervals")
     mixed = met.where("not alike")
-    contexts = materialise(mixed.groupBy("name", "context").agg(F.sum("many").alias("n"), F.min(F.struct("key", "low", "high")).alias("one")), "contexts")
-    settled = mixed.join(contexts.where("n > 1").select("name", "context"), ["name", "context"]).select("key", "low", "high")
+    copies = F.sum((F.col("place").bitwiseAND(1)) + 1)
+    contexts = materialise(mixed.groupBy("name", "context").agg(copies.alias("n"), F.min(F.struct("key", "place")).alias("one")), "contexts")
+    twice = mixed.join(contexts.where("n > 1").select("name", "context"), ["name", "context"])
     # one anchor of each context; its strings may be those of another context of the block
-    open_ = (contexts.select("one.key", F.struct("one.low", "one.high", "name", (F.col("n") == 1).alias("open")).alias("anchor"))
-             .groupBy("key").agg(F.collect_list("anchor").alias("open")))
-    spelled = materialise(strings_of(texts.join(open_.hint("shuffle_hash"), "key").select("key", "text", "open"), length), "strings")
-    again = spelled.groupBy("name", "hash").agg(F.count("*").alias("n")).where("n > 1").select("name", "hash")
-    found = spelled.where("open").join(again, ["name", "hash"]).select("key", "low", F.col("low").alias("high"))
-    return met.where("alike").select("key", "low", "high").unionByName(settled).unionByName(found)
+    anchors = (contexts.select("one.key", F.struct("one.place", "name", (F.col("n") == 1).alias("open")).alias("anchor"))
+               .groupBy("key").agg(F.collect_list("anchor").alias("anchors")))
+    spelled = strings_of(texts.join(anchors.hint("shuffle_hash"), "key").select("key", "text", "anchors"), length)
+    every = (spelled.repartition(tasks(docs.sparkSession), "name", "part")
+             .select("key", "name", "part", "start", "open", F.posexplode("hashes").alias("step", "hash")))
+    again = every.withColumn("n", F.count("*").over(Window.partitionBy("name", "part", "hash"))).where("open and n > 1")
+    low = F.shiftrightunsigned("place", 33)
+    run = F.shiftleft(low, 17).bitwiseOR(F.shiftright("place", 1).bitwiseAND(0xFFFF)).alias("run")
+    found = again.select("key", F.shiftleft((F.col("start") + F.col("step")).cast("long"), 17).alias("run"))
+    return (met.where("alike").select("key", run).unionByName(twice.select("key", run)).unionByName(found)
+            .groupBy("key").agg(F.collect_set("run").alias("runs")))
+
+
+def _intervals(texts: DataFrame, length: int) -> DataFrame:
+    """Anchors of the interleave's blocks of two suffixes and more; ``alike``: all contexts of the block are the same."""
+    anchors = materialise(anchor_blocks(texts, length), "anchors")
+    copies = F.sum((F.col("place").bitwiseAND(1)) + 1)
+    blocks = (anchors.groupBy("name").agg(copies.alias("n"), F.min("context").alias("c"), F.max("context").alias("d"))
+              .where("n > 1").select("name", (F.col("c") == F.col("d")).alias("alike")))
+    return anchors.join(blocks, "name")
 
 
 def merged(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -300,17 +326,17 @@ def merged(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``row_`` (the document, its text without the removed bytes) and ``dedup_``: n_bytes, n_removed, n_spans, spans
     (maximal removed runs, [begin, end) in bytes) and kept_sha256."""
-    starts = (repeated_starts(docs, length).groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("starts")))
+    starts = settled(docs.sparkSession, lambda: repeated_starts(docs, length), "repeats")
     rows = docs.select(F.struct("*").alias("row_"), text_key().alias("key"))
     met = rows.join(starts.hint("shuffle_hash"), "key", "left").select(
-        "row_", "starts", F.coalesce("row_.text", F.lit("")).cast("binary").alias("data_"))
+        "row_", "runs", F.coalesce("row_.text", F.lit("")).cast("binary").alias("data_"))
     spans = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
     def drop(batches):
         for batch in slices(batches, "data_", 4_000_000):
             out = []
-            for data, found in zip(batch.column("data_").to_pylist(), batch.column("starts").to_pylist()):
-                runs = merged([(s["low"], s["high"]) for s in found or ()], length)
+            for data, found in zip(batch.column("data_").to_pylist(), batch.column("runs").to_pylist()):
+                runs = merged([(r >> 17, (r >> 17) + (r & 0x1FFFF)) for r in found or ()], length)
                 kept, at = [], 0
                 for b, e in runs:
                     kept.append(data[at:b])
