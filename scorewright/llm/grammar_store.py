@@ -1,7 +1,8 @@
 """Token ids of a corpus in grammar-compressed shards, in document order, and reading them back.
 
-Documents are range partitioned by id; each task encodes its texts, fills blocks of whole documents and writes
-each block with its own Re-Pair grammar (``repair``). The folder is a Parquet table, one row per block, so the
+Documents are range partitioned by id; each task encodes its texts and cuts them into shards of whole documents, of
+about ``BLOCK_IDS`` ids, so that memory is bounded whatever a task holds; each has a Re-Pair grammar of its own
+(``repair``). The folder is a Parquet table, one row per block, so the
 write is committed by Spark and a lost executor only repeats its tasks. Columns: ``shard``, ``block`` (counted
 within the shard), ``before`` (ids of the shard before the block), ``n_ids``, ``payload``.
 
@@ -24,7 +25,7 @@ from scorewright.llm.common import prefix_sums, slices, tasks, whole_text
 from scorewright.llm.tokens import encoder
 from scorewright.session import new_path
 
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 19
 BLOCKS = "shard int, block int, before long, n_ids long, payload binary"
 
 

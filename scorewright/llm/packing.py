@@ -3,10 +3,11 @@
 Each task encodes its texts and cuts those longer than a sequence (the first piece takes the remainder, the others
 are full and make sequences of their own). It packs the remaining pieces by best fit, longest first, and emits the
 nearly full bins. Underfull bins go up as items: groups of them are merged by best fit again, level by level, until
-one group is left or no two items fit together. A bin carries its pieces, at most as many as a sequence has ids.
+one group is left or no two items fit together. What is underfull then is dissolved into its pieces and packed once
+more. A bin carries its pieces, at most as many as a sequence has ids.
 
-A group is bounded by ``rows_per_group``: a level has as many groups as its items need, and bins that no other
-item of the level can enter are emitted first, so a level without possible merges ends the tree.
+A group is bounded by ``rows_per_group``: a level has as many groups as its items need. Bins that no other item of the
+level can enter wait for the last round.
 
 Defined cases: a null or empty text is the end id alone. Null and repeated ids are documents of their own. Other
 columns are ignored. An empty table gives no rows.
@@ -108,8 +109,11 @@ def local_bins(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, sla
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(fill, BINS)
 
 
-def merge_bins(underfull: DataFrame, groups: int, level: int, capacity: int, slack: int) -> DataFrame:
-    """Best fit of the underfull bins within each of ``groups`` groups; a bin is one item."""
+def merge_bins(underfull: DataFrame, groups: int, level: int, capacity: int, slack: int, dissolve: bool = False) -> DataFrame:
+    """Best fit of the underfull bins within each of ``groups`` groups; a bin is one item.
+
+    With ``dissolve`` a piece is one item, and a group stays as it is where that makes no fewer bins.
+    """
 
     def merge(key, table):
         base, made = level << 56 | key[0].as_py() << 32, 0
@@ -122,12 +126,22 @@ def merge_bins(underfull: DataFrame, groups: int, level: int, capacity: int, sla
         items = sorted(zip(table.column("used").to_pylist(), table.column("pieces").to_pylist(), table.column("bin").to_pylist()),
                        key=lambda x: (x[0], x[2]))
         rows = _merged([(used, pieces) for used, pieces, _ in items], capacity, slack, number)
+        if dissolve:
+            again = _merged([(p["length"], [p]) for _, pieces, _ in items for p in pieces], capacity, slack, number)
+            rows = again if len(again) < len(rows) else rows
         return pa.Table.from_batches(_batches(rows), _BINS)
 
     group = F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(groups)).cast("int")
     return underfull.withColumn("group_", group).groupBy("group_").applyInArrow(merge, BINS)
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = SEQUENCE, slack: int = 8,
                    fan_in: int = 8, rows_per_group: int = 50_000) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
@@ -135,30 +149,33 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int
     ``slack``: free ids up to which a bin is emitted as nearly full. ``fan_in``: groups that meet on the next level.
     """
     bins = materialise(local_bins(docs, vocabulary, end_id, capacity, slack, rows_per_group), "bins")
-    done, level = [bins.where("closed")], 0
+    done, waiting, level = [bins.where("closed")], [], 0
     spread = bins.agg(F.countDistinct(F.shiftright("bin", 32))).first()[0]  # tasks that made bins
     while True:
         open_bins = bins.where("not closed")
-        many, least = open_bins.agg(F.count("*"), F.min("used")).first()
-        spread //= fan_in
-        if many < 2:
-            done.append(open_bins)
+        least = open_bins.agg(F.min("used")).first()[0]
+        if least is None:
             break
         able = F.col("used") <= capacity - least  # some item still fits
-        done.append(open_bins.where(~able))
+        waiting.append(open_bins.where(~able))
         open_bins = open_bins.where(able)
         items = open_bins.count()
+        spread //= fan_in
         groups = max(1, spread, -(-items // rows_per_group))
+        if items < 2:
+            waiting.append(open_bins)
+            break
         level += 1
         bins = materialise(merge_bins(open_bins, groups, level, capacity, slack), "bins")
         done.append(bins.where("closed"))
-        after = bins.count()
-        if groups == 1 or after == items and spread <= 1:  # one group, or nothing merged
-            done.append(bins.where("not closed"))
+        if groups == 1 or bins.count() == items and spread <= 1:  # one group, or nothing merged
+            waiting.append(bins.where("not closed"))
             break
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
+    if waiting:
+        rest = _union(waiting)
+        groups = max(1, -(-rest.count() // rows_per_group))
+        done.append(materialise(merge_bins(rest, groups, level + 1, capacity, slack, dissolve=True), "bins"))
+    out = _union(done)
     before = F.expr("transform(sequence(0, size(pieces) - 1), i -> aggregate(slice(pieces, 1, i), 0L, (s, p) -> s + p.length))")
     return (out.select(F.col("bin").alias("sequence_id"), F.explode(F.arrays_zip(F.col("pieces").alias("p"), before.alias("offset"))).alias("x"))
             .select("x.p.doc_id", "x.p.piece", "x.p.start", "x.p.length", "x.p.ids_crc32", "sequence_id", "x.offset"))

@@ -1,8 +1,10 @@
 """Ids of whole texts by the ``tokenizers`` library, encoding each distinct word of a task only once.
 
-Both vocabularies used here split a text before merging, and never merge across a split. A text is cut at white
-space where such a split is certain, each distinct part is encoded by the library, and the ids are put together.
-The result equals encoding the whole text (tested against it, also on odd white space and scripts).
+Both vocabularies used here split a text before merging, and never merge across a split. A text of Latin letters is
+split by the vocabulary's own pattern, stated for Python, and each distinct part is looked up or merged by the
+library's model. Any other text is cut at white space where a split is certain, each distinct part is encoded by the
+library, and the ids are put together. The result equals encoding the whole text (tested against it, also on odd
+white space and scripts).
 """
 
 from __future__ import annotations
@@ -28,9 +30,31 @@ def _byte_letters() -> list[str]:
 
 
 _LETTERS = _byte_letters()
+_OTHER = re.compile("[\x1c-\x1f\x85\u0130\u0250-\U0010ffff]|<\\|")  # not split by the patterns below
+#: The split patterns of the two vocabularies (fixed values), for characters up to U+024F.
+_ENDS, _ALPHA, _DIGIT, _MARKS = "'s|'t|'re|'ve|'m|'ll|'d", r"[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+", r"[\d\xb2\xb3\xb9\xbc-\xbe]", r"(?:[^\s\w]|_)+"
+_PLAIN = re.compile(f"{_ALPHA}|{_ENDS}|{_DIGIT}|{_MARKS}")  # letters first: no ending begins with one
+_SPACED = re.compile(rf" ?{_ALPHA}|{_ENDS}| ?{_DIGIT}+| ?{_MARKS}|\s+(?!\S)|\s+")
 _encoders: dict[tuple, "WordEncoder"] = {}
 
 
+class _Parts(dict):
+    """Ids by part of a split, merged by the model when first met; a full table is emptied."""
+
+    def __init__(self, tokenizer, kind: str, limit: int):
+        self.model, self.kind, self.limit = tokenizer.model, kind, limit
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        if part.isascii() and part.isprintable():
+            word = part.replace(" ", "Ġ")  # a space's letter
+        else:
+            word = "".join(map(_LETTERS.__getitem__, part.encode()))
+        ids = self[part] = array(self.kind, [t.id for t in self.model.tokenize(word)]).tobytes()
+        return ids
+
+
 class WordEncoder:
     """Encodes texts to the bytes of little-endian ids.
 
@@ -46,8 +70,20 @@ class WordEncoder:
         self.kind = {2: "H", 4: "I"}[width]
         self.parts: dict[str, dict[str, bytes]] = {"": {}, " ": {}}  # by what stands before a word
         self.cores: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+        self.known = _Parts(self.tokenizer, self.kind, limit)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        other = [i for i, t in enumerate(texts) if _OTHER.search(t)]
+        if not other:
+            return list(map(self._split, texts))
+        rest = dict(zip(other, self._encode_words([texts[i] for i in other])))
+        return [rest[i] if i in rest else self._split(t) for i, t in enumerate(texts)]
+
+    def _split(self, text: str) -> bytes:
+        parts = _SPACED.findall(text) if self.spaced else _PLAIN.findall(text.lower())
+        return b"".join(map(self.known.__getitem__, parts))
+
+    def _encode_words(self, texts: list[str]) -> list[bytes]:
         if not self.spaced:
             words = [t.split() if not _CONTROLS.search(t) else [w for w in _BLANKS.split(t) if w] for t in texts]
             ids = self._ids(set().union(*words), "")
@@ -72,7 +108,7 @@ class WordEncoder:
         for w in words - out.keys():
             core = w.rstrip(string.punctuation)
             tail = w[len(core):]
-            if not tail or not core or not core[-1].isalpha() or "<|" in w:  # special tokens stay whole
+            if not tail or not core or not core[-1].isalpha() or core[-1] == "İ" or "<|" in w:  # special tokens stay whole, and a mark with its tail
                 core, tail = w, ""
             if not self.spaced and core and max(core) < "İ":  # one letter becomes one letter there
                 core = core.lower()

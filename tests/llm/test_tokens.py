@@ -31,6 +31,17 @@ def test_words_equal_whole_texts(texts, path, spaced, width):
         assert got == [whole.encode(t, add_special_tokens=False).ids for t in many]
 
 
+@pytest.mark.parametrize("path, spaced, width", [(WORDS, False, 2), (BYTES, True, 4)])
+def test_latin_splits_equal_whole_texts(path, spaced, width):
+    rng = random.Random(6)
+    letters = "aAzZéÉßŉƻǅªº09²¼½_-.,'\"  \t\n\r\u00a0\u00ad§€<|>sdmtrvl\u0130\u0131\u024f"
+    many = ["".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(3000)]
+    many += [chr(c) + " a" + chr(c) + "b " + chr(c) for c in range(0x260)]
+    coder, whole = WordEncoder(path, spaced, width), Tokenizer.from_file(path)
+    got = [np.frombuffer(b, f"<u{width}").tolist() for b in coder.encode(many)]
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in many]
+
+
 def test_repair_round_trip():
     rng = np.random.default_rng(1)
     for ids in ([], [7], [7, 7], [1] * 999, rng.integers(0, 9, 20_000), rng.integers(0, 49_408, 5_000), np.tile(rng.integers(0, 99, 50), 300)):
@@ -42,6 +53,30 @@ def test_repair_round_trip():
     assert len(block) < len(ids)  # repeats shrink
 
 
+def test_repeats_shrink_to_rules():
+    """A passage however often repeated, with all its pairs equally frequent, costs little more than its rules."""
+    rng = np.random.default_rng(4)
+    for size, times in ((1_000, 50), (997, 50), (50, 1_000)):
+        ids = np.tile(rng.integers(0, 49_408, size), times).astype(np.uint16)
+        block = repair.pack([1], [len(ids)], ids, 49_408)
+        assert len(block) <= 0.3 * len(ids) and (repair.decode(block) == ids).all()
+
+
+def test_no_pair_is_left_frequent():
+    rng = np.random.default_rng(7)
+    ids = rng.choice(300, 60_000, p=np.arange(300, 0, -1) / 45_150).astype(np.uint16)
+    rules, per_round, seq = repair.compress(ids, 49_408, least=8)
+    assert max(Counter(zip(seq.tolist(), seq[1:].tolist())).values()) < 8 or len(rules) + 49_408 == 1 << 16
+    assert sum(per_round) == len(rules)
+
+
+def test_slices_expand_what_covers_them():
+    ids = np.tile(np.random.default_rng(2).integers(0, 49_408, 4_096), 64).astype(np.uint16)
+    x = repair.unpack(repair.pack([1], [len(ids)], ids, 49_408))
+    got, expanded = repair._covering(x, x["symbols"].astype(np.int64), 100_000, 100_010)
+    assert (got == ids[100_000:100_010]).all() and expanded < 200
+
+
 def test_shards(spark, documents, texts):
     path = new_path(spark, "shards")
     grammar_store.write_shards(documents, path, WORDS, 49_408, 1, block_ids=5_000)
