@@ -4,9 +4,13 @@ The pieces and merge order come from a SentencePiece BPE model. A text is split
 another character (no piece of such a model goes on past one). Within a word an agenda holds the candidate merges,
 best piece first, then leftmost; each candidate is skipped with probability ``dropout``, decided by a keyed hash of
 seed, document id, the word's place in the text and the candidate's turn, so that documents and occurrences differ and
-any run gives the same ids. The turns between skips are geometric and drawn as such; what a word becomes under given
-skips is cached, whatever the document. Without dropout the ids equal the library's. Characters without a piece become their bytes, and
-so does the model's space mark where a text holds it literally, so decoding always returns the text.
+any run gives the same ids. Without dropout the ids equal the library's.
+
+All words of a batch are worked on at once: a matrix per class of word lengths holds their parts and candidates, and a
+turn of the agenda is one pass of array operations over the words that still have candidates. Words beyond ``WIDE``
+characters have an agenda (a heap) of their own, by the same rule and with the same ids. Characters without a piece
+become their bytes, and so does the model's space mark where a text holds it literally, so decoding always returns the
+text.
 
 Defined cases: a null text is empty; an empty text has no pieces. Null and repeated ids are rows of their own, a null
 id has key 0 (``variant``). Other columns are ignored. An empty table gives no rows.
@@ -15,30 +19,66 @@ id has key 0 (``variant``). Other columns are ignored. An empty table gives no r
 from __future__ import annotations
 
 import heapq
-import math
-import re
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from scorewright.llm.common import slices, whole_text
 from scorewright.llm.shingles import mix
 
 DROPOUT = 0.1
-LONG = 48  # characters from which a heap is the faster agenda
+WIDE = 128
+CLASSES = (8, 12, 16, 24, 48, WIDE)
+CHARS = 250_000  # of a batch, or one longer text
 MARK = "▁"  # stands for a space
-_LITERAL = MARK + " "  # a mark that was in the text; no piece holds a space
-_WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+_LITERAL = 0x110000  # code of a mark that was in the text
+_PLACE, _TURN = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _ALL = (1 << 64) - 1
 _coders: dict[tuple, "DropoutCoder"] = {}
 
 
+class PairTable:
+    """Pairs of symbols to the piece they merge to, -1 if none; looked up for whole arrays."""
+
+    def __init__(self, pairs: dict[tuple[int, int], int]):
+        keys = np.array([a << 21 | b for a, b in pairs], np.int64)
+        values = np.array(list(pairs.values()), np.int32)
+        self.levels = []
+        while len(keys):  # what finds its slot taken goes to a further, smaller table
+            bits = max(4, int(8 * len(keys)).bit_length())
+            shift, odd = np.uint64(64 - bits), np.uint64(_PLACE + 2 * len(self.levels))
+            slot = keys.view(np.uint64) * odd >> shift
+            held, to = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+            held[slot], to[slot] = keys, values
+            self.levels.append((odd, shift, held, to))
+            left = held[slot] != keys
+            keys, values = keys[left], values[left]
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << 21 | b
+        out, rest = np.full(len(key), -1, np.int32), None
+        for odd, shift, held, to in self.levels:
+            slot = key.view(np.uint64) * odd >> shift
+            found = held[slot]
+            hit = found == key
+            value = np.where(hit, to[slot], -1)
+            if rest is None:
+                out = value
+            else:
+                out[rest] = value
+            deeper = np.flatnonzero(~hit & (found >= 0))  # an empty slot ends the search
+            if not len(deeper):
+                break
+            rest = deeper if rest is None else rest[deeper]
+            key = key[deeper]
+        return out
+
+
 class DropoutCoder:
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = 1, limit: int = 1_000_000):
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = 1, wide: int = WIDE):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -52,150 +92,176 @@ class DropoutCoder:
         self.bytes = {bytes([int(pieces[i][3:5], 16)]): i for i in range(len(pieces)) if model.is_byte(i)}
         table = {i: pieces[i].replace(MARK, " ").encode() for i in plain} | {i: b for b, i in self.bytes.items()}
         self.back = [table.get(i, b"") for i in range(len(pieces))]
-        self.bar, self.seed, self.limit = int(dropout * 2.0 ** 32), seed, limit
-        self.gap = 1 / math.log1p(-dropout) if 0 < dropout < 1 else -math.inf if dropout <= 0 else 0.0
-        self.known: dict[str | tuple, tuple[int, bytes]] = {}  # by word, or (word, skipped turns): turns in all, ids
-
-    def _spelled(self, part: str) -> list[int]:
-        """A piece, or the bytes of a character that has none."""
-        if part in self.ids:
-            return [self.ids[part]]
-        return [self.bytes[bytes([b])] for b in (MARK if part == _LITERAL else part).encode()]
-
-    def _merged(self, parts: list[str], key: int) -> list[str]:
-        """The parts after all merges that are not skipped. The agenda is a list beside the parts: few words are long."""
-        rank, bar, none = self.rank, self.bar, self.none
-        agenda = [rank.get(a + b, none) for a, b in zip(parts, parts[1:])]
-        while agenda:
-            best = min(agenda)
-            if best == none:
-                break
-            i = agenda.index(best)
-            if bar and ((key ^ best * 0x9E3779B1 ^ i << 44) * 0x9E3779B97F4A7C15 >> 29 & 0xFFFFFFFF) < bar:
-                agenda[i] = none
-                continue
-            piece = parts[i] + parts[i + 1]
-            parts[i:i + 2] = [piece]
-            del agenda[i]
-            if i < len(agenda):
-                agenda[i] = rank.get(piece + parts[i + 1], none)
-            if i:
-                agenda[i - 1] = rank.get(parts[i - 1] + piece, none)
-        return parts
-
-    def _merged_long(self, parts: list[str], key: int) -> list[str]:
-        """The same for a long word, with a heap and linked parts."""
-        n, rank = len(parts), self.rank
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        self.bar, self.seed, self.wide = round(dropout * 2.0 ** 32), seed, wide
+        self.many = len(pieces)
+        self.of_char = np.arange(0x110001, dtype=np.int32) + self.many  # a symbol of its own where no piece is
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.of_char[ord(piece)] = i
+        self.rank_of = np.full(self.many + 1, self.none, np.int32)  # the last is for -1
+        for piece, i in self.ids.items():
+            self.rank_of[i] = self.rank[piece]
+        self.pairs = PairTable({(self._symbol(p[:k]), self._symbol(p[k:])): i for p, i in self.ids.items()
+                                for k in range(1, len(p)) if self._part(p[:k]) and self._part(p[k:])})
+        self.byte_ids = np.array([self.bytes[bytes([b])] for b in range(256)], np.uint16)
+
+    def _part(self, text: str) -> bool:
+        return len(text) == 1 or text in self.ids
+
+    def _symbol(self, text: str) -> int:
+        return int(self.of_char[ord(text)]) if len(text) == 1 else self.ids[text]
+
+    def _skips(self, keys: np.ndarray, turn: int) -> np.ndarray:
+        return mix(keys + np.uint64((turn + 1) * _TURN & _ALL)) >> np.uint64(32) < self.bar
+
+    def _merge(self, symbols: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Symbols of words, a row each, -1 beyond their ends: after all merges, in place, -1 where a part is gone."""
+        n, width = symbols.shape
+        size = (symbols >= 0).sum(axis=1)
+        out = symbols.copy()
+        inside = np.arange(1, width)[None, :] < size[:, None]
+        merged = np.full((n, width), -1, np.int32)
+        row, at = np.nonzero(inside)
+        merged[row, at] = self.pairs(symbols[row, at], symbols[row, at + 1])
+        ranks = self.rank_of[merged]
+        after = np.broadcast_to(np.arange(1, width + 1, dtype=np.int32), (n, width)).copy()
+        before = np.broadcast_to(np.arange(-1, width - 1, dtype=np.int32), (n, width)).copy()
+        rows, turn = np.arange(n), 0  # rows of the input that the matrices still hold
+        parts = symbols.copy()
+        while len(rows):
+            best = ranks.argmin(axis=1)
+            every = np.arange(len(rows))
+            live = ranks[every, best] < self.none
+            if live.mean() < 0.7:  # go on with those alone
+                out[rows[~live]] = parts[~live]
+                rows, best, keys, size = rows[live], best[live], keys[live], size[live]
+                parts, merged, ranks, after, before = (m[live] for m in (parts, merged, ranks, after, before))
+                every = np.arange(len(rows))
+                if not len(rows):
+                    break
+            else:
+                every, best = every[live], best[live]
+            if self.bar:
+                skip = self._skips(keys[every], turn)
+                ranks[every[skip], best[skip]] = self.none
+                every, best = every[~skip], best[~skip]
+            turn += 1
+            right = after[every, best]
+            piece = merged[every, best]
+            parts[every, best] = piece
+            parts[every, right] = -1
+            ranks[every, right] = self.none
+            far = after[every, right]
+            after[every, best] = far
+            ranks[every, best] = self.none
+            inner = far < size[every]
+            r, b, f = every[inner], best[inner], far[inner]
+            before[r, f] = b
+            found = self.pairs(piece[inner], parts[r, f])
+            merged[r, b], ranks[r, b] = found, self.rank_of[found]
+            left = before[every, best]
+            inner = left >= 0
+            r, b = every[inner], left[inner]
+            found = self.pairs(parts[r, b], piece[inner])
+            merged[r, b], ranks[r, b] = found, self.rank_of[found]
+        return out
+
+    def _merge_long(self, symbols: list[int], key: int) -> list[int]:
+        """The same for one word, with a heap."""
+        n, rank = len(symbols), self.rank_of
+        parts, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
+        version = [0] * n  # of the candidate at a place; older ones are stale
         agenda: list[tuple[int, int, int, int]] = []
 
-        def offer(i, j):
-            r = rank.get(parts[i] + parts[j])
-            if r is not None:
-                heapq.heappush(agenda, (r, i, j, len(parts[i]) + len(parts[j])))
+        def offer(places: list[int]):
+            found = self.pairs(np.array([parts[i] for i in places]), np.array([parts[after[i]] for i in places])) if places else []
+            for i, piece in zip(places, found):
+                version[i] += 1
+                if piece >= 0:
+                    heapq.heappush(agenda, (int(rank[piece]), i, version[i], int(piece)))
 
-        for i in range(n - 1):
-            offer(i, i + 1)
+        offer(list(range(n - 1)))
+        turn = 0
         while agenda:
-            best, i, j, size = heapq.heappop(agenda)
-            if not parts[i] or not parts[j] or after[i] != j or len(parts[i]) + len(parts[j]) != size:
-                continue  # one side has been merged since
-            if self.bar and ((key ^ best * 0x9E3779B1 ^ i << 44) * 0x9E3779B97F4A7C15 >> 29 & 0xFFFFFFFF) < self.bar:
+            _, i, made, piece = heapq.heappop(agenda)
+            if parts[i] < 0 or version[i] != made:
                 continue
-            parts[i] += parts[j]
-            parts[j] = ""
+            turn += 1
+            if self.bar and self._skips(np.array([key], np.uint64), turn - 1)[0]:
+                version[i] += 1
+                continue
+            j = after[i]
+            parts[i], parts[j] = piece, -1
+            version[i], version[j] = version[i] + 1, version[j] + 1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                offer(i, k)
-            if before[i] >= 0:
-                offer(before[i], i)
-        return [p for p in parts if p]
-
-    def _bytes(self, merged: list[str]) -> bytes:
-        try:
-            return array("H", [self.ids[p] for p in merged]).tobytes()
-        except KeyError:
-            return array("H", [x for p in merged for x in self._spelled(p)]).tobytes()
-
-    def segment(self, word: str, key: int, literal: frozenset[int] = frozenset()) -> bytes:
-        """Ids of a word; ``literal`` are the places of literal marks."""
-        parts = [c if i not in literal else _LITERAL for i, c in enumerate(word)] if literal else list(word)
-        key = xxhash.xxh64_intdigest(word, (self.seed * 1_000_003 + key) & _ALL)
-        return self._bytes(self._merged(parts, key) if len(parts) <= LONG else self._merged_long(parts, key))
-
-    def _skipping(self, word: str, skips: tuple[int, ...]) -> tuple[int, bytes]:
-        """How many candidates have their turn if those at ``skips`` alone are skipped, and the ids then."""
-        rank, none, parts, turns = self.rank, self.none, list(word), 0
-        agenda = [rank.get(a + b, none) for a, b in zip(parts, parts[1:])]
-        while agenda:
-            best = min(agenda)
-            if best == none:
-                break
-            i = agenda.index(best)
-            turns += 1
-            if turns - 1 in skips:
-                agenda[i] = none
-                continue
-            piece = parts[i] + parts[i + 1]
-            parts[i:i + 2] = [piece]
-            del agenda[i]
-            if i < len(agenda):
-                agenda[i] = rank.get(piece + parts[i + 1], none)
-            if i:
-                agenda[i - 1] = rank.get(parts[i - 1] + piece, none)
-        return turns, self._bytes(parts)
-
-    def _known(self, key: str | tuple, word: str, skips: tuple[int, ...]) -> tuple[int, bytes]:
-        found = self.known.get(key)
-        if found is None:
-            if len(self.known) >= self.limit:
-                self.known.clear()
-            found = self.known[key] = self._skipping(word, skips)
-        return found
-
-    def _gaps(self, key: int, many: int) -> list[float]:
-        """Turns before the first skip, for each word of a document."""
-        bits = mix(np.arange(1, many + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mix(np.array([key], np.uint64)))
-        return (np.log(((bits >> np.uint64(11)) + np.uint64(1)).astype(np.float64) * 2.0 ** -53) * self.gap).tolist()
-
-    def _varied(self, word: str, key: int, place: int, gap: float) -> bytes:
-        """Ids of a word whose turn number ``gap`` is the first that is skipped."""
-        skips: tuple[int, ...] = (int(gap),)
-        while True:
-            turns, ids = self._known((word, skips), word, skips) if len(skips) < 3 else self._skipping(word, skips)
-            bits = xxhash.xxh64_intdigest(f"{place} {len(skips)}", key)
-            after = skips[-1] + 1 + int(math.log(((bits >> 11) + 1) * 2.0 ** -53) * self.gap)
-            if after >= turns:
-                return ids
-            skips += (after,)
+            offer([p for p in (i, before[i]) if p >= 0 and after[p] < n])
+        return parts
 
-    def encode(self, text: str, variant: int) -> bytes:
-        """Ids of a text as 16-bit little-endian; ``variant`` is the document's key."""
-        if not text:
-            return b""
-        if MARK in text:
-            return self._encode_marked(text, variant)
-        words = text.split(" ")
-        if "" in words:  # runs of spaces, or at an end
-            parts = _WORD.findall(MARK + text.replace(" ", MARK))
-        else:
-            parts = [MARK + w for w in words]
-        key = (self.seed * 1_000_003 + variant) & _ALL
-        gaps = self._gaps(key, len(parts)) if self.bar else [math.inf] * len(parts)
-        known, out = self.known, []
-        for place, (word, gap) in enumerate(zip(parts, gaps)):
-            if len(word) > LONG:
-                out.append(self.segment(word, xxhash.xxh64_intdigest(str(place), key)))
-                continue
-            turns, ids = known.get(word) or self._known(word, word, ())
-            out.append(ids if gap >= turns else self._varied(word, key, place, gap))
-        return b"".join(out)
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of all texts in a row, each after one mark; where words begin, the word's text, and its place there."""
+        codes = np.frombuffer("".join(" " + t for t in texts if t).encode("utf-32-le"), np.uint32).astype(np.int32)
+        sizes = np.array([len(t) + 1 if t else 0 for t in texts])
+        starts = np.cumsum(sizes) - sizes
+        space = codes == 32
+        symbols = self.of_char[np.where(codes == ord(MARK), _LITERAL, np.where(space, ord(MARK), codes))]
+        first = np.zeros(len(codes), bool)
+        first[starts[sizes > 0]] = True
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begin = np.flatnonzero(begins | first)
+        text = np.searchsorted(starts + sizes, begin, "right")
+        place = np.arange(len(begin)) - np.searchsorted(begin, starts)[text]
+        return symbols, begin, text, place
+
+    def encode_batch(self, texts: list[str], variants: np.ndarray) -> list[bytes]:
+        """Ids of each text as 16-bit little-endian; ``variants`` are the documents' keys."""
+        symbols, begin, text, place = self._words(texts)
+        size = np.diff(begin, append=len(symbols))
+        base = mix(np.asarray(variants, np.int64).view(np.uint64) + np.uint64(self.seed * 1_000_003 & _ALL))
+        keys = mix(base[text] + place.astype(np.uint64) * np.uint64(_PLACE)) if len(begin) else np.zeros(0, np.uint64)
+        out = np.full(len(symbols), -1, np.int32)
+        low = 0
+        for width in (*[w for w in CLASSES if w < self.wide], self.wide):
+            chosen = np.flatnonzero((size > low) & (size <= width))
+            low = width
+            if len(chosen):
+                column = np.arange(width)
+                inside = column[None, :] < size[chosen][:, None]
+                at = np.minimum(begin[chosen][:, None] + column, len(symbols) - 1)
+                done = self._merge(np.where(inside, symbols[at], -1).astype(np.int32), keys[chosen])
+                out[at[inside]] = done[inside]
+        for w in np.flatnonzero(size > self.wide):
+            part = slice(begin[w], begin[w] + size[w])
+            out[part] = self._merge_long(symbols[part].tolist(), int(keys[w]))
+        alive = out >= 0
+        ends = np.cumsum(np.array([len(t) + 1 if t else 0 for t in texts]))
+        flat = out[alive]
+        cuts = np.concatenate(([0], np.cumsum(alive)))[ends] if len(out) else np.zeros(len(texts), np.int64)
+        odd = np.flatnonzero(flat >= self.many)
+        if len(odd):
+            flat, cuts = self._spelled(flat, odd, cuts)
+        ids, cuts = flat.astype("<u2").tobytes(), [0, *(2 * cuts).tolist()]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _spelled(self, flat: np.ndarray, odd: np.ndarray, cuts: np.ndarray):
+        """Symbols without a piece replaced by the ids of their bytes."""
+        codes = flat[odd] - self.many
+        data = [(MARK if c == _LITERAL else chr(c)).encode() for c in codes.tolist()]
+        many = np.ones(len(flat), np.int64)
+        many[odd] = [len(d) for d in data]
+        ends = np.cumsum(many)
+        out = np.repeat(flat, many)
+        joined = np.frombuffer(b"".join(data), np.uint8)
+        spot = np.zeros(len(out), bool)
+        spot[np.repeat(ends[odd] - many[odd], many[odd]) + np.arange(len(joined)) - np.repeat(np.cumsum(many[odd]) - many[odd], many[odd])] = True
+        out[spot] = self.byte_ids[joined]
+        return out, np.concatenate(([0], ends))[cuts]
 
-    def _encode_marked(self, text: str, variant: int) -> bytes:
-        whole = MARK + text.replace(" ", MARK)
-        literal = frozenset(i + 1 for i, c in enumerate(text) if c == MARK)
-        return self.segment(whole, variant, literal)
+    def encode(self, text: str, variant: int) -> bytes:
+        """Ids of one text."""
+        return self.encode_batch([text], np.array([variant], np.int64))[0]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.back.__getitem__, array("H", ids)))[1:].decode()
@@ -216,9 +282,9 @@ def encode_pieces(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: in
                        F.sha2(whole_text(), 256).alias("sha256"), whole_text().alias("text"))
 
     def encode(batches):
-        encode_text = coder(path, dropout, seed).encode
-        for batch in slices(batches, "text"):
-            ids = [encode_text(t, v) for t, v in zip(batch.column("text").to_pylist(), batch.column("variant").to_pylist())]
+        encode_texts = coder(path, dropout, seed).encode_batch
+        for batch in slices(batches, "text", CHARS):
+            ids = encode_texts(batch.column("text").to_pylist(), batch.column("variant").to_numpy())
             yield batch.select(["doc_id", "variant", "sha256"]).append_column("ids", pa.array(ids, pa.binary()))
 
     return rows.mapInArrow(encode, "doc_id long, variant long, sha256 string, ids binary")
