@@ -71,6 +71,21 @@ def settled(spark: SparkSession, build: Callable[[], DataFrame], label: str = "s
     return out
 
 
+class Grown:
+    """A table in the work folder that is appended to; plans that read it stay as small as a scan."""
+
+    def __init__(self, spark: SparkSession, schema: str, label: str):
+        self.spark, self.schema, self.path, self.filled = spark, schema, new_path(spark, label), False
+
+    def add(self, rows: DataFrame) -> None:
+        with _shuffles_dropped(self.spark):
+            rows.write.mode("append").parquet(self.path)
+        self.filled = True
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
 def release_stages(spark: SparkSession) -> int:
     """Delete the intermediate tables of this process; returns how many.
 
