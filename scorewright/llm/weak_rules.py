@@ -34,8 +34,9 @@ _SPACES = r"[\x20\x09-\x0D]+"
 def text_counts(docs: DataFrame) -> DataFrame:
     """doc_id and the counts that the rules use.
 
-    Three-word windows are compared by hash within a text: the hash keeps all bits that the window's number does not
-    need, windows are sorted, and equal neighbours are repeats.
+    Three-word windows are compared within a text: a hash and the window's number are sorted as one number, and of those
+    whose hashes are equal neighbours the words themselves are sorted and compared, so no chance hit of the shortened hash
+    counts, however long the text.
     """
     words = docs.select("doc_id", F.expr("coalesce(text, '')").alias("text"),
                         F.expr(f"array_remove(split(coalesce(text, ''), '{_SPACES}'), '')".replace("\\", "\\\\")).alias("words"))
@@ -52,13 +53,18 @@ def text_counts(docs: DataFrame) -> DataFrame:
         "*", F.length(F.bin("n")).alias("bits"), F.expr("""
         case when n >= 3 then transform(sequence(0, n - 3), i ->
             shiftleft(xxhash64(get(words, i), get(words, i + 1), get(words, i + 2)), length(bin(n))) | i) end""").alias("keys"))
-    ordered = keyed.select("doc_id", "n", "word_chars", "n_symbols", "n_capitals", "n_marked", "n_stops", "lines", "bits",
+    ordered = keyed.select("doc_id", "words", "n", "word_chars", "n_symbols", "n_capitals", "n_marked", "n_stops", "lines", "bits",
                            F.sort_array("keys").alias("keys"))
-    repeated = ordered.select("*", F.expr("""
-        sort_array(transform(filter(keys, (x, i) ->
+    alike = ordered.select("*", F.expr("""
+        sort_array(transform(transform(filter(keys, (x, i) ->
             coalesce(shiftright(x, bits) = shiftright(get(keys, i - 1), bits), false)
             or coalesce(shiftright(x, bits) = shiftright(get(keys, i + 1), bits), false)),
-            x -> x & (shiftleft(1L, bits) - 1)))""").alias("at"))
+            x -> x & (shiftleft(1L, bits) - 1)), x ->
+            struct(get(words, int(x)) as a, get(words, int(x) + 1) as b, get(words, int(x) + 2) as c, x)))""").alias("windows"))
+    same = "(x.a = get(windows, i {0} 1).a and x.b = get(windows, i {0} 1).b and x.c = get(windows, i {0} 1).c)"
+    repeated = alike.select("*", F.expr(f"""
+        sort_array(transform(filter(windows, (x, i) -> coalesce({same.format("-")}, false) or coalesce({same.format("+")}, false)),
+            x -> x.x))""").alias("at"))
     covered = F.expr("aggregate(transform(at, (x, i) -> if(i = 0, 3L, least(3L, x - get(at, i - 1)))), 0L, (s, x) -> s + x)")
     return repeated.select(
         "doc_id", F.col("n").cast("long").alias("n_words"), F.col("word_chars").cast("long").alias("word_chars"),
