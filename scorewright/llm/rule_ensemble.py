@@ -25,6 +25,7 @@ from scorewright.session import materialise
 
 PER_LABEL = 4_000
 ACCEPT = 0.3
+ITERATIONS = 200  # more than the lasso needs to converge
 #: Statistic: expression over the counts of a text.
 STATISTICS = {
     "n_words": "n_words",
@@ -96,8 +97,8 @@ def condition(rule: Rule) -> Column:
     return out
 
 
-def fit_rules(sample: DataFrame, trees: int = 8, depth: int = 3, penalty: float = 0.002,
-              seed: int = 7) -> tuple[float, list[tuple[Rule, float]]]:
+def fit_rules(sample: DataFrame, trees: int = 12, depth: int = 3, penalty: float = 0.002,
+              seed: int = 7, iterations: int = ITERATIONS) -> tuple[float, list[tuple[Rule, float]]]:
     """Intercept and the weighted rules that the lasso keeps; ``sample`` has statistics, y and weight."""
     names = list(STATISTICS)
     ready = VectorAssembler(inputCols=[f"s_{n}" for n in names], outputCol="x_").transform(sample).select("x_", "y", "weight")
@@ -107,7 +108,7 @@ def fit_rules(sample: DataFrame, trees: int = 8, depth: int = 3, penalty: float
     held = sample.select("y", "weight", *[condition(r).cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
     held = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="x_").transform(held)
     model = LogisticRegression(featuresCol="x_", labelCol="y", weightCol="weight", elasticNetParam=1.0, regParam=penalty,
-                               maxIter=25).fit(materialise(held.select("x_", "y", "weight").coalesce(2), "rules"))
+                               maxIter=iterations).fit(materialise(held.select("x_", "y", "weight").coalesce(2), "rules"))
     return model.intercept, [(r, w) for r, w in zip(rules, model.coefficients.toArray().tolist()) if w]
 
 

@@ -39,6 +39,47 @@ def test_rules_are_tree_paths():
         (("a", "<=", 1.5),), (("a", "<=", 1.5), ("b", "<=", 2.0)), (("a", "<=", 1.5), ("b", ">", 2.0)), (("a", ">", 1.5),)]
 
 
+def plain_statistics(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    lines = [l for l in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", l)]
+    windows = Counter(zip(words, words[1:], words[2:]))
+    repeats = {j for i in range(len(words) - 2) if windows[tuple(words[i:i + 3])] > 1 for j in range(i, i + 3)}
+    n, chars, count = len(words), sum(map(len, words)), lambda letters: sum(c in letters for c in text)
+    marked = sum(bool(re.search(r"[#*$%&|<>]|!!", w)) for w in words)
+    return {"n_words": n, "word_length": chars / max(n, 1), "symbols": count("#*$%&|<>") / max(n, 1), "n_symbols": count("#*$%&|<>"),
+            "marked": marked / max(n, 1), "n_marked": marked, "repeats": len(repeats) / max(n, 1),
+            "capitals": sum("A" <= c <= "Z" for c in text) / max(chars, 1), "stops": count(".!?") / max(n, 1),
+            "dup_lines": (len(lines) - len(set(lines))) / max(len(lines), 1)}
+
+
+def plain_score(text, intercept, rules):
+    known = plain_statistics(text)
+    odds = intercept
+    for rule, weight in rules:
+        if all(known[n] <= at if side == "<=" else known[n] > at for n, side, at in rule):
+            odds += weight
+    return 1 / (1 + np.exp(-odds))
+
+
+def test_compiled_rules_like_plain_rules(spark, documents, labels, texts, odd_rows):
+    sample = rule_ensemble.labelled_sample(documents, labels, "quality", 500)
+    ready = rule_ensemble.statistics(documents).join(sample, "doc_id")
+    intercept, rules = rule_ensemble.fit_rules(ready)
+    assert rules
+    many = [*texts.items(), *((1000 + i, t) for i, (_, t) in enumerate(odd_rows))]
+    rows = rule_ensemble.statistics(spark.createDataFrame(many, "doc_id long, text string"))
+    got = {r.doc_id: r.score for r in rows.select("doc_id", rule_ensemble.score_column(intercept, rules).alias("score")).collect()}
+    for doc, text in many:
+        assert abs(got[doc] - plain_score(text or "", intercept, rules)) < 1e-9
+
+
+def test_lasso_has_converged(documents, labels):
+    sample = rule_ensemble.labelled_sample(documents, labels, "quality", 500)
+    ready = rule_ensemble.statistics(documents).join(sample, "doc_id")
+    once, longer = (rule_ensemble.fit_rules(ready, iterations=n) for n in (rule_ensemble.ITERATIONS, 5 * rule_ensemble.ITERATIONS))
+    assert once == longer
+
+
 def test_toxic(bigger):
     docs, labels = bigger
     rows = nearest_toxic.score_toxicity(docs, labels).collect()
