@@ -2,15 +2,19 @@
 
 Equal texts are one node (a 128-bit hash of the text). Nodes that share a band meet in a bucket. A bucket of n nodes
 does not make n * n pairs: every node is verified against the bucket's head, the node that meets most others, and
-linked nodes become components. Where a bucket still holds several components and at most ``EACH`` nodes, all its pairs
-across components are verified, which is at most EACH / 2 a node. In a larger one the next head is verified against
-all nodes of other components, pass by pass, while a pass over all buckets finds links. What large buckets then hold of
-several components is settled exactly by prefix filtering: two sets of sizes s and t and a Jaccard similarity of
-``similar`` or more share o >= similar / (1 + similar) * (s + t) shingles, so in any common order of shingles the first
-s - o + 1 of one and t - o + 1 of the other share one. The order is by rarity, so that few others share it; every such
-pair across components is verified. A multiset counts as the set of its numbered shingles. A node stands in as many
-buckets as it has bands, each with heads of its own. Components come from label passing with shortcuts. Every pass is a
-written table in the shared folder, nothing is collected but the counts of ``CELLS`` cells of shingle hashes.
+linked nodes become components. Where a bucket still holds several components, a pass follows: in one of at most
+``EACH`` nodes all pairs across components are verified, at most EACH / 2 a node; in a larger one a next head is
+verified against all nodes of other components, ``HEADS`` times in all. What large buckets then hold of several
+components is settled exactly by prefix filtering: two sets of sizes s and t and a Jaccard similarity of ``similar`` or
+more share o >= similar / (1 + similar) * (s + t) shingles, so in any common order of shingles the first s - o + 1 of
+one and t - o + 1 of the other share one. The order is by rarity, so that few others share it. Of two nodes of one
+bucket in different components one is outside the bucket's largest component; such nodes emit their whole prefix, the
+others only what may stand in one of those. Every pair across components that meets is verified. A multiset counts as
+the set of its numbered shingles. A node stands in as many buckets as it has bands, each with heads of its own.
+
+Components come from label passing with shortcuts. Pairs and links are folders that passes append to, so no plan grows
+with the passes, and their number is fixed. Nothing is collected but counts and marks of ``CELLS`` cells of shingle
+hashes.
 """
 
 from __future__ import annotations
@@ -23,9 +27,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scorewright.llm.common import slices, whole_text
 from scorewright.llm.shingles import mix, whole_shingles
-from scorewright.session import materialise
+from scorewright.session import Grown, materialise, settled
 
 EACH = 32
+HEADS = 2
+ROWS_PER_TASK = 1_000
 CELLS = 1 << 18
 Bands = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 Elements = Callable[[np.ndarray], np.ndarray]
@@ -111,11 +117,29 @@ def _cell(elements: np.ndarray) -> np.ndarray:
     return (mix(elements) % np.uint64(CELLS)).astype(np.int64)
 
 
+def _by_cell(counted: DataFrame) -> np.ndarray:
+    """Sums of (cell, n) as an array of ``CELLS``."""
+    cells = counted.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    return out
+
+
+_PREFIX = "element long, node binary, label binary, size int, place int, outside boolean"
+
+
 def rare_pairs(texts: DataFrame, elements_of: Elements, similar: float) -> DataFrame:
     """Pairs (a, b) of nodes with different labels, among them all of a Jaccard similarity of ``similar``.
 
-    ``texts`` has node, label and text; ``elements_of`` makes the distinct elements of a text of its shingles.
+    ``texts`` has node, label, text and, if some pairs are not asked for, outside: of each pair one node is. ``elements_of``
+    makes the distinct elements of a text of its shingles.
     """
+    if "outside" not in texts.columns:
+        texts = texts.withColumn("outside", F.lit(True))
+    context = texts.sparkSession.sparkContext
+    # alike texts in few tasks: what is counted per task is then counted once for many of them
+    texts = materialise(texts, "left-texts")
+    texts = texts.coalesce(-(-texts.count() // ROWS_PER_TASK) or 1)
 
     def count(batches):
         total = np.zeros(CELLS, np.int64)
@@ -125,42 +149,68 @@ def rare_pairs(texts: DataFrame, elements_of: Elements, similar: float) -> DataF
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
-    cells = texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(CELLS, np.int64)
-    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    common = texts.sparkSession.sparkContext.broadcast(counts)
-
-    def first(batches):
-        for batch in slices(batches, "text", 1_000_000):
-            parts, places, sizes = [], [], []
-            for elements in _elements(batch, elements_of):
-                n = len(elements)
-                long = n - int(np.ceil(similar * n - 1e-6)) + 1 if n else 0
-                parts.append(elements[np.lexsort((elements, common.value[_cell(elements)]))[:long]])
-                places.append(np.arange(len(parts[-1]), dtype=np.int32))
-                sizes.append(n)
-            many = np.array([len(p) for p in parts])
-            of = pa.array(np.repeat(np.arange(len(parts)), many))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(parts).view(np.int64)), batch.column("node").take(of), batch.column("label").take(of),
-                 pa.array(np.repeat(np.array(sizes, np.int32), many)), pa.array(np.concatenate(places))],
-                ["element", "node", "label", "size", "place"])
-
-    rows = materialise(texts.select("node", "label", "text")
-                       .mapInArrow(first, "element long, node binary, label binary, size int, place int"), "prefixes")
-    across = rows.groupBy("element").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("element")
-    rows = materialise(rows.join(across, "element"), "prefixes")
-    a, b = (rows.select("element", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "size", "place")]) for side in "ab")
+    common = context.broadcast(_by_cell(texts.select("text").mapInArrow(count, "cell long, n long")))
+
+    def prefixes(marked):
+        def first(batches):
+            for batch in slices(batches, "text", 1_000_000):
+                parts, places, sizes = [], [], []
+                for elements in _elements(batch, elements_of):
+                    n = len(elements)
+                    long = n - int(np.ceil(similar * n - 1e-6)) + 1 if n else 0
+                    part = elements[np.lexsort((elements, common.value[_cell(elements)]))[:long]]
+                    place = np.arange(len(part), dtype=np.int32)
+                    if marked is not None:
+                        may = marked.value[_cell(part)]
+                        part, place = part[may], place[may]
+                    parts.append(part)
+                    places.append(place)
+                    sizes.append(n)
+                many = np.array([len(p) for p in parts])
+                of = pa.array(np.repeat(np.arange(len(parts)), many))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(parts).view(np.int64)), batch.column("node").take(of), batch.column("label").take(of),
+                     pa.array(np.repeat(np.array(sizes, np.int32), many)), pa.array(np.concatenate(places)),
+                     batch.column("outside").take(of)], _PREFIX.replace(",", "").split(" ")[::2])
+        return first
+
+    rows = texts.select("node", "label", "text", "outside")
+    outer = materialise(rows.where("outside").mapInArrow(prefixes(None), _PREFIX), "prefixes")
+
+    def mark(batches):
+        seen = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            seen[_cell(batch.column("element").to_numpy().view(np.uint64))] = 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["cell", "n"])
+
+    marked = context.broadcast(_by_cell(outer.select("element").mapInArrow(mark, "cell long, n long")) > 0)
+    inner = materialise(rows.where("not outside").mapInArrow(prefixes(marked), _PREFIX), "prefixes")
+    every = outer.unionByName(inner)
+    across = every.groupBy("element").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("element")
+    every = materialise(every.join(across, "element"), "prefixes")
+    a, b = (every.select("element", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "size", "place", "outside")]) for side in "ab")
+    a = a.where("outside_a")
     both = F.ceil((F.col("size_a") + F.col("size_b")) * F.lit(similar / (1 + similar)) - 1e-6)
-    near = ((a.element == b.element) & (F.col("label_a") != F.col("label_b"))
-            & ((F.col("size_a") < F.col("size_b")) | (F.col("size_a") == F.col("size_b")) & (F.col("node_a") < F.col("node_b")))
+    near = ((a.element == b.element) & (F.col("label_a") != F.col("label_b")) & (~F.col("outside_b") | (F.col("node_a") < F.col("node_b")))
             & (F.col("place_a") <= F.col("size_a") - both) & (F.col("place_b") <= F.col("size_b") - both))
     return a.join(b, near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, bands_of: Bands, similarity, similar: float, elements_of: Elements) -> DataFrame:
     """Per document: doc_id, node, label (a node of its class) and class_id, the least id in the class (null ids aside)."""
     sketches = materialise(_sketches(docs, bands_of), "sketches")
+    by_node = settled(docs.sparkSession, lambda: _labelled(docs, sketches, similarity, similar, elements_of), "classes")
+    return sketches.select("doc_id", "node").join(by_node, "node")
+
+
+def _labelled(docs: DataFrame, sketches: DataFrame, similarity, similar: float, elements_of: Elements) -> DataFrame:
+    """(node, label, class_id) of every node."""
+    spark = docs.sparkSession
     nodes = materialise(sketches.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("band"))
     sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
@@ -172,40 +222,48 @@ def near_classes(docs: DataFrame, bands_of: Bands, similarity, similar: float, e
              .join(met.select(F.col("node").alias("of"), "first").hint("shuffle_hash"),
                    F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("node") == F.col("of"))).select("node", "text"))
     texts = materialise(texts, "texts")
-    used = materialise(_heads(shared), "heads")
-    pairs = shared.join(used, "band").where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    tested = materialise(pairs, "pairs")
-    links = materialise(_verified(tested, texts, similarity, similar), "links")
-    small_done = False
-    while True:
-        labels = components(links)
-        own = shared.join(labels, "node", "left").select("band", "node", "n", "weight", F.coalesce("label", "node").alias("label"))
-        split = own.groupBy("band", "label").count().groupBy("band").agg(F.count("*").alias("parts")).where("parts > 1").select("band")
-        own = materialise(own.join(split, "band"), "split")  # buckets of several components
-        large = own.where(F.col("n") > EACH)
-        heads = materialise(_heads(large.join(used.withColumnRenamed("head", "node"), ["band", "node"], "left_anti")), "heads")
+    used = Grown(spark, "band long, node binary", "heads")
+    tested, links = (Grown(spark, "a binary, b binary", label) for label in ("pairs", "links"))
+
+    def verify(pairs: DataFrame) -> bool:
+        fresh = materialise(pairs.join(tested.table(), ["a", "b"], "left_anti") if tested.filled else pairs, "fresh")
+        found = materialise(_verified(fresh, texts, similarity, similar), "found")
+        tested.add(fresh)
+        links.add(found)
+        return not found.isEmpty()
+
+    used.add(_heads(shared).select("band", F.col("head").alias("node")))
+    verify(_ordered(shared.join(used.table().withColumnRenamed("node", "head"), "band").where("node != head")
+                    .select(F.col("node").alias("a"), F.col("head").alias("b"))))
+    labels = components(links.table())
+    for turn in range(1, HEADS):
+        large, own = _unsettled(shared, labels)
+        heads = materialise(_heads(large.join(used.table(), ["band", "node"], "left_anti")), "heads")
+        used.add(heads.select("band", F.col("head").alias("node")))
         of = large.select("band", F.col("node").alias("head"), F.col("label").alias("other"))
-        fresh = large.join(heads.join(of, ["band", "head"]), "band").where("label != other").select("node", "head")
-        if not small_done:
+        fresh = large.join(heads.join(of, ["band", "head"]), "band").where("label != other").select(F.col("node").alias("a"), F.col("head").alias("b"))
+        if turn == 1:
             small = own.where(F.col("n") <= EACH)
-            others = small.select("band", F.col("node").alias("head"), F.col("label").alias("other"))
-            fresh, small_done = fresh.union(small.join(others, "band").where("label < other").select("node", "head")), True
-        fresh = fresh.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-        before = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = materialise(fresh.join(before, ["a", "b"], "left_anti"), "pairs")
-        found = materialise(_verified(fresh, texts, similarity, similar), "links")
-        if found.isEmpty():
+            others = small.select("band", F.col("node").alias("b"), F.col("label").alias("other"))
+            fresh = fresh.union(small.join(others, "band").where("label < other").select(F.col("node").alias("a"), "b"))
+        if not verify(_ordered(fresh)):
             break
-        used, tested, links = used.unionByName(heads), tested.unionByName(fresh), links.unionByName(found)
-    left = materialise(large.groupBy("node").agg(F.first("label").alias("label")), "left")
-    if not left.isEmpty():  # large buckets of several components
-        fresh = rare_pairs(texts.join(left, "node"), elements_of, similar)
-        before = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = materialise(fresh.join(before, ["a", "b"], "left_anti"), "pairs")
-        found = materialise(_verified(fresh, texts, similarity, similar), "links")
-        if not found.isEmpty():
-            labels = components(links.unionByName(found))
+        labels = components(links.table())
+    large, _ = _unsettled(shared, labels)
+    per = large.groupBy("band", "label").agg(F.count("*").alias("many"))
+    main = per.groupBy("band").agg(F.max(F.struct("many", "label")).alias("main")).select("band", F.col("main.label").alias("main"))
+    left = materialise(large.join(main, "band").groupBy("node").agg(
+        F.first("label").alias("label"), F.max(F.col("label") != F.col("main")).alias("outside")), "left")
+    if not left.isEmpty() and verify(_ordered(rare_pairs(texts.join(left, "node"), elements_of, similar))):
+        labels = components(links.table())
     firsts = nodes.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     classes = firsts.groupBy("label").agg(F.min("first").alias("class_id"))
-    by_node = materialise(firsts.join(classes, "label").select("node", "label", "class_id"), "classes")
-    return sketches.select("doc_id", "node").join(by_node, "node")
+    return firsts.join(classes, "label").select("node", "label", "class_id")
+
+
+def _unsettled(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(band, node, n, weight, label) of buckets that hold several components: of the large ones, and of all."""
+    own = shared.join(labels, "node", "left").select("band", "node", "n", "weight", F.coalesce("label", "node").alias("label"))
+    split = own.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("band")
+    own = materialise(own.join(split, "band"), "split")
+    return own.where(F.col("n") > EACH), own
