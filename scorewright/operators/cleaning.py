@@ -7,11 +7,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from scorewright.functions.names import ref
 from scorewright.functions.numbers import clip, mean_of_present, outside, parse_number, round_even
 from scorewright.functions.text import clean_text, strip, title_case
-from scorewright.operators.ordering import exact_quantiles
 from scorewright.operators.profile import discover_measures
 from scorewright.operators.quality import _N as COPIES, collapse_rows
+from scorewright.operators.selection import wide_quantiles
 from scorewright.presets import (
     ACADEMIC_RULES,
     INDEX_WEIGHTS,
@@ -59,50 +60,23 @@ def clip_range(df: DataFrame, rules: list[MeasureRule] = ACADEMIC_RULES) -> Data
 def impute_group_median(df: DataFrame, rules: list[MeasureRule], group: str | None = None) -> DataFrame:
     """Fill nulls with the group's median, else the overall median, else the rule's fallback.
 
-    All measures are counted in one pass as (measure, group, value, count); a
-    null group uses the overall median. ``df`` is read twice, so pass a stored
-    table when its plan is costly.
+    All measures are selected together (``selection``); a null group uses the overall median. ``df`` is read
+    several times, so pass a stored table when its plan is costly.
     """
     used = [r for r in rules if r.column in df.columns]
     if not used:
         return df
-    keys = ["measure", *([group] if group else [])]
-    entries = [
-        F.struct(F.lit(r.column).alias("measure"), F.col(r.column).cast("double").alias("value")) for r in used
-    ]
-    counted = materialise(
-        df.select(*([group] if group else []), F.inline(F.array(*entries)))
-        .where(F.col("value").isNotNull())
-        .groupBy(*keys, "value")
-        .agg(F.count(F.lit(1)).alias("n")),
-        "measure-counts",
-    )
-    overall_counts = counted
-    if group:
-        overall_counts = materialise(
-            counted.groupBy("measure", "value").agg(F.sum("n").alias("n")), "measure-counts"
-        )
-    overall = exact_quantiles(overall_counts, "value", [0.5], ["measure"], counted=True)
-    overall_medians = {r["measure"]: r["q0"] for r in overall.collect()}  # one row per measure
-
-    fills = {r.column: F.lit(float(overall_medians.get(r.column, r.fallback))) for r in used}
+    columns = [r.column for r in used]
+    overall = wide_quantiles(df, columns).first()  # one row
+    fills = [F.lit(float(r.fallback if overall[f"q{i}"] is None else overall[f"q{i}"])) for i, r in enumerate(used)]
     if not group:
-        return df.withColumns({c: F.coalesce(F.col(c), fill) for c, fill in fills.items()})
-
-    by_group = exact_quantiles(
-        counted.where(F.col(group).isNotNull()), "value", [0.5], keys, counted=True
-    )
-    medians = materialise(
-        by_group.groupBy(group).agg(*[
-            F.max(F.when(F.col("measure") == r.column, F.col("q0"))).alias(f"_median_{i}")
-            for i, r in enumerate(used)
-        ]),
-        "medians",
-    )
-    joined = df.join(medians, group, "left")
+        return df.withColumns({r.column: F.coalesce(ref(r.column), fill) for r, fill in zip(used, fills)})
+    medians = wide_quantiles(df, columns, by=[group]).select(
+        ref(group).alias("_group"), *[F.col(f"q{i}").alias(f"_median_{i}") for i in range(len(used))])
+    joined = df.join(medians, ref(group) == F.col("_group"), "left")
     return joined.withColumns({
-        r.column: F.coalesce(F.col(r.column), F.col(f"_median_{i}"), fills[r.column]) for i, r in enumerate(used)
-    }).select(*df.columns)
+        r.column: F.coalesce(ref(r.column), F.col(f"_median_{i}"), fill) for i, (r, fill) in enumerate(zip(used, fills))
+    }).select(*[ref(c) for c in df.columns])
 
 
 @dataclass(frozen=True)

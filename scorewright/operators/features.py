@@ -4,22 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from scorewright.functions.names import ref
 from scorewright.operators.aggregates import entity_rollup
-from scorewright.operators.ordering import exact_quantiles, value_counts
+from scorewright.operators.selection import wide_quantiles
 from scorewright.session import materialise
 
 
 def fill_medians(table: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls to the column's median; all columns are counted in one pass.
+    """Nulls to the column's median; all columns are selected together.
 
     ``table`` should be stored: it is read twice.
     """
-    entries = [F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in columns]
-    counted = materialise(value_counts(table.select(F.inline(F.array(*entries))), "value", ["measure"]), "feature-counts")
-    rows = exact_quantiles(counted, "value", [0.5], ["measure"], counted=True).collect()
-    medians = {r["measure"]: r["q0"] for r in rows}  # one row per feature
+    found = wide_quantiles(table, columns).first()  # one row
+    medians = {c: found[f"q{i}"] for i, c in enumerate(columns) if found[f"q{i}"] is not None}
     return table.withColumns({
-        c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) if c in medians else F.col(c).cast("double")
+        c: F.coalesce(ref(c).cast("double"), F.lit(medians[c])) if c in medians else ref(c).cast("double")
         for c in columns
     })
 

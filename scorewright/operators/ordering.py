@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from scorewright.operators.selection import wide_quantiles
 from scorewright.session import materialise
 
 ROWS_PER_BUCKET = 1_000_000
@@ -150,9 +151,10 @@ def group_median(
 ) -> DataFrame:
     """Median of ``value`` per group; ``exact=False`` trades it for a bounded sketch."""
     by = list(by)
-    if exact:
-        return exact_quantiles(df, value, [0.5], by).select(*by, F.col("q0").alias(alias))
     keys_present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by], F.lit(True))
+    if exact:
+        found = wide_quantiles(df.where(keys_present), [value], by=by)
+        return found.where("n0 > 0").select(*by, F.col("q0").alias(alias))
     return df.where(keys_present).groupBy(*by).agg(F.percentile_approx(value, 0.5).cast("double").alias(alias))
 
 

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from scorewright.functions.numbers import round_even
-from scorewright.operators.ordering import average_ranks, exact_quantiles
+from scorewright.operators.ordering import average_ranks
+from scorewright.operators.selection import wide_quantiles
 from scorewright.presets import CORRELATION_TESTS
 from scorewright.session import materialise
 
@@ -80,8 +81,8 @@ def iqr_outliers(df: DataFrame, value: str, columns: list[str] | None = None) ->
     reaches the file scan.
     """
     picked = df.select(*columns) if columns else df
-    quartiles = exact_quantiles(df, value, [0.25, 0.75]).first()
-    if quartiles is None or quartiles["n"] < MIN_ROWS_OUTLIERS:
+    quartiles = wide_quantiles(df, [value], [0.25, 0.75]).first()  # one row
+    if quartiles["n0"] < MIN_ROWS_OUTLIERS:
         return picked.where(F.lit(False))
     spread = quartiles["q1"] - quartiles["q0"]
     low, high = quartiles["q0"] - FENCE * spread, quartiles["q1"] + FENCE * spread
