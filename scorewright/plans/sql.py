@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,19 +32,57 @@ def check_read_only(query: str) -> None:
 def check_relations(spark: SparkSession, query: str) -> None:
     """Raise ValueError if ``query`` reads a file: its relations must be plain names, or names in a database."""
     parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(query).toString()
+    if "UnresolvedIdentifier" in parsed:
+        raise ValueError("query refused: relations may not be named by expressions")
     for relation in _RELATION.findall(parsed):
         parts = [p.strip() for p in relation.split(",")]
         if len(parts) > 1 and not spark.catalog.databaseExists(parts[-2]):
             raise ValueError(f"query refused: {'.'.join(parts)} is not a table")
 
 
+_MADE_HERE = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef"}  # leaves that read nothing stored
+
+
+def _leaves(plan, known: set[str]):
+    """Names of the leaves of an analysed plan that lie under none of the ``known`` views, subqueries included."""
+    if plan.nodeName() == "SubqueryAlias" and plan.alias() in known:
+        return
+    if plan.nodeName().startswith("View"):  # another view of the session
+        yield "View"
+        return
+    below = [plan.children().apply(i) for i in range(plan.children().size())]
+    below += [plan.subqueries().apply(i) for i in range(plan.subqueries().size())]
+    if not plan.children().size():
+        yield plan.nodeName()
+    for node in below:
+        yield from _leaves(node, known)
+
+
 def sql_readonly(spark: SparkSession, query: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Check ``query``, register ``tables`` as temporary views, and plan it."""
+    """Check ``query`` and plan it over ``tables`` alone; the caller's views are neither seen nor changed.
+
+    The tables stand in front of the query as common table expressions over views of unguessable names, which are
+    dropped once the query is analysed; then every leaf of the analysed plan must lie in one of them. Without
+    ``tables`` the query runs over the session's own tables and views.
+    """
     check_read_only(query)
     check_relations(spark, query)
-    for name, df in (tables or {}).items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(query)
+    if tables is None:
+        return spark.sql(query)
+    views = {name: f"_{uuid.uuid4().hex}" for name in tables}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(views[name])
+        heads = ", ".join(f"`{name}` as (select * from `{view}`)" for name, view in views.items())
+        body = query.strip().rstrip(";")
+        planned = spark.sql(f"with {heads} select * from (\n{body}\n)" if heads else body)
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
+    foreign = sorted(set(_leaves(planned._jdf.queryExecution().analyzed(), set(views.values()))) - _MADE_HERE)
+    if foreign:
+        raise ValueError(f"query refused: it reads more than the given tables ({', '.join(foreign)})")
+    return planned
 
 
 def _facts(*columns: str) -> str:

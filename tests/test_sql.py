@@ -30,6 +30,27 @@ def test_files_are_refused(spark, query):
         sql_readonly(spark, query, {"numbers": spark.range(4)})
 
 
+@pytest.mark.parametrize("query", [
+    "select * from identifier('text.`/etc/hostname`')", "select * from identifier('text' || '.`/etc/hostname`')",
+    "select * from numbers where id in (select count(*) from identifier('text.`/etc/hostname`'))",
+    "with a as (select * from identifier('text.`/etc/hostname`')) select * from a", "select * from mine", "select * from default.mine",
+    "select (select max(id) from mine) as m", "select 1) union (select * from mine",
+])
+def test_nothing_but_the_given_tables_is_read(spark, query):
+    spark.range(3).createOrReplaceTempView("mine")
+    with pytest.raises(Exception, match="refused|NOT_FOUND|PARSE_SYNTAX_ERROR"):
+        sql_readonly(spark, query, {"numbers": spark.range(4)})
+
+
+def test_views_of_the_caller_stay(spark):
+    spark.range(3).createOrReplaceTempView("students")
+    before = len(spark.catalog.listTables())
+    got = sql_readonly(spark, "with s as (select id from students where id > 1) select s.id from s join students using (id) order by id desc;  ",
+                       {"students": spark.range(40)})
+    assert [r.id for r in got.collect()] == list(range(39, 1, -1))
+    assert spark.table("students").count() == 3 and len(spark.catalog.listTables()) == before
+
+
 def test_comments_may_lead(spark):
     query = "-- sum\n/* of all */ select sum(id) as s from default.numbers_in_default"
     check_read_only(query)
