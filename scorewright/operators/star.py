@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scorewright.functions.text import derive_key
 from scorewright.operators.ordering import first_per_key, last_per_key
+from scorewright.session import materialise
 
 # Columns that must all be present before the split.
 STAR_REQUIRED = ["student_id", "student_name", "department", "semester", "academic_year", "subject"]
@@ -114,62 +115,95 @@ STAR_RULES = {
 }
 
 
-def _bad_row(rules: TableRules) -> Column:
-    """Row-level violations: null key parts or required columns, values out of range."""
-    flags = [F.col(c).isNull() for c in (*rules.key, *rules.required)]
-    flags += [F.coalesce(~F.col(c).between(lo, hi), F.lit(False)) for c, lo, hi in rules.ranges]
-    return reduce(lambda a, b: a | b, flags)
+def _row_checks(rules: TableRules) -> list[tuple[str, str, Column]]:
+    """(rule, column, violated) of the checks that a row decides alone."""
+    checks = [("not_null", c, F.col(c).isNull()) for c in (*rules.key, *rules.required)]
+    return checks + [("range", c, F.coalesce(~F.col(c).between(lo, hi), F.lit(False))) for c, lo, hi in rules.ranges]
+
+
+def _set_number(columns: list[str], members: tuple[str, ...]) -> int:
+    """``grouping_id`` of the grouping set of ``members``: a bit for each column it leaves out."""
+    return sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in members)
+
+
+def _counted(df: DataFrame, rules: TableRules, parents: list[str]) -> tuple[DataFrame, list[str]]:
+    """One scan of a table: rows and violations in all, and rows by key and by each parent's column (grouping sets)."""
+    columns = list(dict.fromkeys([*rules.key, *parents]))
+    sets = list(dict.fromkeys([rules.key, *[(c,) for c in parents], ()]))
+    flags = [F.count_if(bad).alias(f"_c{i}") for i, (_, _, bad) in enumerate(_row_checks(rules))]
+    counted = df.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(
+        F.count(F.lit(1)).alias("_n"), F.grouping_id(*columns).alias("_set"), *flags)
+    return materialise(counted, "constraint-counts"), columns
 
 
 def check_constraints(tables: dict[str, DataFrame], rules: dict[str, TableRules] = STAR_RULES) -> DataFrame:
     """One row per (table, constraint) with its number of violating rows.
 
-    Row checks of a table share one scan. Keys are counted per value before
-    they are joined to the parent, so a frequent orphan key moves as one row.
+    Each table is scanned once: row checks and the counts by key and by each parent's column come from one aggregate.
+    Parent lookups join counts with counts, so a frequent orphan key moves as one row.
     """
+    counts = {name: _counted(df, rules[name], [c for c, parent, _ in rules[name].parents if parent in tables])
+              for name, df in tables.items()}
+
+    def of(name: str, members: tuple[str, ...]) -> DataFrame:
+        counted, columns = counts[name]
+        return counted.where(F.col("_set") == _set_number(columns, members))
+
+    def line(name: str, rule: str, columns: str, rows: DataFrame, violations: Column) -> DataFrame:
+        return rows.agg(F.coalesce(F.sum(violations), F.lit(0)).alias("violations")).select(
+            F.lit(name).alias("table_name"), F.lit(rule).alias("rule"), F.lit(columns).alias("columns"), "violations")
+
     reports = []
-    for name, df in tables.items():
+    for name in tables:
         r = rules[name]
-        checks = [("not_null", c, F.col(c).isNull()) for c in (*r.key, *r.required)]
-        checks += [("range", c, ~F.col(c).between(lo, hi)) for c, lo, hi in r.ranges]
-        counted = df.agg(*[F.count_if(flag).alias(f"c{i}") for i, (_, _, flag) in enumerate(checks)])
-        reports.append(counted.select(F.inline(F.array(*[
-            F.struct(F.lit(name).alias("table_name"), F.lit(kind).alias("rule"), F.lit(c).alias("columns"),
-                     F.col(f"c{i}").alias("violations"))
-            for i, (kind, c, _) in enumerate(checks)
-        ]))))
-        copies = df.groupBy(*r.key).agg(F.count(F.lit(1)).alias("n"))
-        reports.append(copies.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations")).select(
-            F.lit(name).alias("table_name"), F.lit("unique").alias("rule"),
-            F.lit(",".join(r.key)).alias("columns"), "violations",
-        ))
+        for i, (kind, column, _) in enumerate(_row_checks(r)):
+            reports.append(line(name, kind, column, of(name, ()), F.col(f"_c{i}")))
+        reports.append(line(name, "unique", ",".join(r.key), of(name, r.key), F.col("_n") - 1))
         for column, parent, parent_column in r.parents:
             if parent not in tables:
                 continue
-            used = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-            known = tables[parent].select(F.col(parent_column).alias(column)).distinct()
-            orphans = used.join(known, column, "left_anti")
-            reports.append(orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations")).select(
-                F.lit(name).alias("table_name"), F.lit("foreign_key").alias("rule"),
-                F.lit(f"{column}->{parent}").alias("columns"), "violations",
-            ))
+            if rules[parent].key == (parent_column,):
+                known = of(parent, rules[parent].key).select(F.col(parent_column).alias(column))
+            else:
+                known = tables[parent].select(F.col(parent_column).alias(column)).distinct()
+            orphans = of(name, (column,)).where(F.col(column).isNotNull()).select(column, "_n").join(known, column, "left_anti")
+            reports.append(line(name, "foreign_key", f"{column}->{parent}", orphans, F.col("_n")))
     return reduce(DataFrame.unionByName, reports)
 
 
-def split_valid(
-    df: DataFrame, rules: TableRules, parents: dict[str, DataFrame] | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """(accepted, quarantined) rows by row checks and parent keys."""
-    flagged = df.withColumn("_bad", _bad_row(rules))
+def judged(
+    df: DataFrame, rules: TableRules, parents: dict[str, DataFrame] | None = None, *, unique: bool = True,
+    alias: str = "reasons",
+) -> DataFrame:
+    """``df`` with the constraints each row violates, as an array of ``rule:columns`` in order of the checks.
+
+    With ``unique`` all rows of a key that several rows have are violations: which of them is right is not decided
+    here. Rows meet counts of repeated keys, and parent keys once each, so the table is scanned twice at most.
+    """
+    found = [F.when(bad, F.lit(f"{kind}:{column}")) for kind, column, bad in _row_checks(rules)]
+    rows = df
+    if unique:
+        again = df.groupBy(*rules.key).agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
+        named = again.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(rules.key)], "_copies")
+        same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_key{i}") for i, c in enumerate(rules.key)])
+        rows = rows.join(named, same, "left")
+        found.append(F.when(F.col("_copies").isNotNull(), F.lit(f"unique:{','.join(rules.key)}")))
     for i, (column, parent, parent_column) in enumerate(rules.parents):
         if parents and parent in parents:
-            known = parents[parent].select(F.col(parent_column).alias(column)).distinct().withColumn(f"_k{i}", F.lit(True))
-            flagged = flagged.join(known, column, "left").withColumn(
-                "_bad", F.col("_bad") | F.col(f"_k{i}").isNull()
-            ).drop(f"_k{i}")
+            known = parents[parent].select(F.col(parent_column).alias(f"_of{i}")).distinct().withColumn(f"_is{i}", F.lit(True))
+            rows = rows.join(known, F.col(column) == F.col(f"_of{i}"), "left")
+            found.append(F.when(F.col(f"_is{i}").isNull() & F.col(column).isNotNull(), F.lit(f"foreign_key:{column}->{parent}")))
+    return rows.select(*[df[c] for c in df.columns], F.array_compact(F.array(*found)).alias(alias))
+
+
+def split_valid(
+    df: DataFrame, rules: TableRules, parents: dict[str, DataFrame] | None = None, *, unique: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """(accepted, quarantined) rows by row checks, repeated keys (if ``unique``) and parent keys; ``judged`` says why."""
+    rows = judged(df, rules, parents, unique=unique, alias="_reasons")
     return (
-        flagged.where(~F.col("_bad")).select(*df.columns),
-        flagged.where(F.col("_bad")).select(*df.columns),
+        rows.where(F.size("_reasons") == 0).select(*df.columns),
+        rows.where(F.size("_reasons") > 0).select(*df.columns),
     )
 
 

@@ -199,7 +199,7 @@ def check_constraints(spark, sf_dir):
 
 def split_valid(spark, sf_dir):
     tables = _constraint_tables(spark, sf_dir)
-    good, bad = S.split_valid(tables["attendance"], S.STAR_RULES["attendance"], tables)
+    good, bad = S.split_valid(tables["attendance"], S.STAR_RULES["attendance"], tables, unique=False)
 
     def count(df, verdict):
         return df.agg(F.count(F.lit(1)).alias("rows"), F.sum("student_id").alias("id_sum")).withColumn("verdict", F.lit(verdict))
@@ -207,6 +207,14 @@ def split_valid(spark, sf_dir):
     return count(good, "accepted").unionByName(count(bad, "quarantined"))
 
 
+def split_valid_rows(spark, sf_dir):
+    """Every fact row with the constraints it violates, repeated keys among them."""
+    tables = _constraint_tables(spark, sf_dir)
+    rows = S.judged(tables["attendance"], S.STAR_RULES["attendance"], tables)
+    return rows.select("student_id", "subject_id", F.round("attendance_pct", 6).alias("attendance_pct"),
+                       F.array_join("reasons", ";").alias("reasons"))
+
+
 QUERIES = {
     "drop_blank_rows": drop_blank_rows,
     "dedup_rows": dedup_rows,
@@ -244,6 +252,7 @@ QUERIES = {
     "key_collisions": key_collisions,
     "check_constraints": check_constraints,
     "split_valid": split_valid,
+    "split_valid_rows": split_valid_rows,
 }
 
 _KEY = ", ".join(ORDER)
@@ -454,4 +463,14 @@ ORACLES = {
         select case when bad then 'quarantined' else 'accepted' end as verdict, count(*) as rows,
                cast(sum(student_id) as bigint) as id_sum from judged group by 1
     """,
+    "split_valid_rows": f"""
+        with {_CONSTRAINTS}, counted as (select *, count(*) over (partition by student_id, subject_id) as copies from att)
+        select student_id, subject_id, round(attendance_pct, 6) as attendance_pct, concat_ws(';',
+            case when student_id is null then 'not_null:student_id' end, case when subject_id is null then 'not_null:subject_id' end,
+            case when attendance_pct not between 0 and 100 then 'range:attendance_pct' end,
+            case when copies > 1 and student_id is not null and subject_id is not null then 'unique:student_id,subject_id' end,
+            case when student_id not in (select student_id from students) then 'foreign_key:student_id->students' end,
+            case when subject_id not in (select subject_id from subjects) then 'foreign_key:subject_id->subjects' end) as reasons
+        from counted
+    """,
 }

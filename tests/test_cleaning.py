@@ -160,6 +160,24 @@ def test_constraints_and_quarantine(star):
     assert (good.count(), quarantined.count()) == (0, 2)
 
 
+def test_repeated_and_null_keys_are_quarantined(spark):
+    rows = [("a", "x", 5.0), ("a", "x", 6.0), (None, "x", 7.0), (None, "x", 7.0), ("b", "y", 101.0), ("c", "x", None), ("d", None, 1.0)]
+    facts = spark.createDataFrame(rows, "student_id string, subject_id string, attendance_pct double")
+    tables = {"students": spark.createDataFrame([("a",), ("c",), ("d",)], "student_id string"),
+              "subjects": spark.createDataFrame([("x",)], "subject_id string")}
+    got = S.judged(facts, S.STAR_RULES["attendance"], tables).collect()
+    assert sorted((str(r["student_id"]), str(r["attendance_pct"]), r["reasons"]) for r in got) == sorted([
+        ("a", "5.0", ["unique:student_id,subject_id"]), ("a", "6.0", ["unique:student_id,subject_id"]),
+        ("None", "7.0", ["not_null:student_id"]), ("None", "7.0", ["not_null:student_id"]),
+        ("b", "101.0", ["range:attendance_pct", "foreign_key:student_id->students", "foreign_key:subject_id->subjects"]),
+        ("c", "None", []), ("d", "1.0", ["not_null:subject_id"])])
+    good, bad = S.split_valid(facts, S.STAR_RULES["attendance"], tables)
+    assert [tuple(r) for r in good.collect()] == [("c", "x", None)] and bad.count() == 6 and bad.columns == facts.columns
+    none = facts.limit(0)
+    report = S.check_constraints({"attendance": none, **tables}, {**S.STAR_RULES, "students": S.TableRules(("student_id",)), "subjects": S.TableRules(("subject_id",))})
+    assert report.where("table_name = 'attendance'").count() == 6 and report.where("violations > 0").count() == 0
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_join_salted(spark, how):
     fact = spark.range(300).selectExpr("id", "case when id < 200 then 1 when id = 299 then 77 else id % 7 end as k")
