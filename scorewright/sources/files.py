@@ -11,6 +11,8 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from scorewright.functions.names import ref
+
 CSV_SUFFIXES, WORKBOOK_SUFFIXES = (".csv",), (".xlsx",)
 
 # Texts a CSV reader takes as missing, besides the empty field.
@@ -40,14 +42,18 @@ def scan_csv(
 ) -> DataFrame:
     """CSV with a header line. Give a schema to avoid the extra inference scan.
 
-    Inferred number columns keep the type Spark finds. Texts that stand for a
-    missing value become null in every column.
+    Texts that stand for a missing value become null in every column. Inferred
+    columns keep the type Spark finds; of those it takes for text, the ones
+    that hold nothing but numbers once missing values are gone become bigint or
+    double, found for all of them in one more scan.
     """
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema is None:
         df = reader.option("inferSchema", True).option("nullValue", "NaN").csv(path)
         texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
-        return df.select(*[_without_tokens(df, c, null_tokens) if c in texts else F.col(f"`{c}`") for c in df.columns])
+        rows = df.select(*[_without_tokens(df, c, null_tokens) if c in texts else ref(c) for c in df.columns])
+        numbers = _number_columns(rows, [c for c in rows.columns if c in texts])
+        return rows.select(*[F.trim(ref(c)).cast(numbers[c]).alias(c) if c in numbers else ref(c) for c in rows.columns])
     wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields])
     df = reader.schema(as_text).csv(path)
@@ -56,6 +62,27 @@ def scan_csv(
     ])
 
 
+def _number_columns(rows: DataFrame, texts: list[str]) -> dict[str, str]:
+    """The text columns that hold numbers alone, and the type for them; columns of nothing but nulls stay text."""
+    if not texts:
+        return {}
+    cells = []
+    for i, c in enumerate(texts):
+        value = F.trim(ref(c))
+        whole = value.rlike(r"^[+-]?\d+$") & value.try_cast("bigint").isNotNull()
+        cells += [F.count(value).alias(f"n{i}"), F.count_if(whole).alias(f"whole{i}"),
+                  F.count_if(value.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")).alias(f"number{i}")]
+    found = rows.agg(*cells).first()
+    kinds = {}
+    for i, c in enumerate(texts):
+        n = found[f"n{i}"]
+        if n and found[f"whole{i}"] == n:
+            kinds[c] = "bigint"
+        elif n and found[f"number{i}"] == n:
+            kinds[c] = "double"
+    return kinds
+
+
 def _without_tokens(df: DataFrame, column: str, tokens: tuple[str, ...]):
     value = F.col(f"`{column}`")
     return F.when(~value.isin(*tokens), value).alias(column)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from scorewright.operators.ordering import last_per_key
 from scorewright.presets import ACTION_STATUSES
 from scorewright.session import materialise
+from scorewright.sources.snapshots import read_snapshot, replace_snapshot
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -20,22 +21,27 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def scan_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame | None:
-    """A stored table (parquet folder or catalog name); None if there is none."""
+    """A stored table (snapshot or parquet folder, or catalog name); None if there is none."""
     if not table_exists(spark, path):
         return None
-    df = spark.read.parquet(path) if "/" in path else spark.table(path)
+    df = None if "/" in path else spark.table(path)
+    if df is None:
+        df = read_snapshot(spark, path)
+    if df is None:
+        df = spark.read.parquet(path)
     return df.select(*columns) if columns else df
 
 
 def replace_table(df: DataFrame, path: str, *, partition_by: list[str] = ()) -> DataFrame:
-    """Overwrite ``path`` with ``df`` and return the stored table.
+    """Make ``df`` the whole table at ``path`` and return the stored table.
 
-    ``df`` must not read from ``path``.
+    The table is a snapshot: a failing write leaves the old one readable, and
+    ``df`` may read from ``path``. With ``partition_by`` it is a plain folder,
+    overwritten, and ``df`` must not read from it.
     """
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    if not partition_by:
+        return replace_snapshot(df, path)
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from scorewright.session import materialise, new_path
-from scorewright.sources import files, tables
+from scorewright.sources import files, snapshots, tables
 from scorewright.workload.frames import table
 
 ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
@@ -46,25 +46,24 @@ def scan_table(spark, sf_dir):
 
 
 def replace_table(spark, sf_dir):
-    """Write orders, replace them by the open ones, read back."""
+    """Write the open orders, replace them by all, read back."""
     path = new_path(spark, "flat")
     orders = _orders(spark, sf_dir)
-    tables.replace_table(orders, path)
-    return tables.replace_table(orders.where("o_orderstatus = 'O'"), path)
+    tables.replace_table(orders.where("o_orderstatus = 'O'"), path)
+    return tables.replace_table(orders, path)
 
 
 def refresh_table(spark, sf_dir):
-    """Rebuild a per-customer result table from one status, then from another."""
+    """Rebuild a per-customer result table from each status in turn, then from all orders."""
     path = new_path(spark, "result")
     orders = _orders(spark, sf_dir)
 
-    def result(status: str) -> DataFrame:
-        return orders.where(F.col("o_orderstatus") == status).groupBy("o_custkey").agg(
-            F.count(F.lit(1)).alias("orders")
-        )
+    def result(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"))
 
-    tables.refresh_table(result("F"), path)
-    return tables.refresh_table(result("P"), path)
+    for status in ("F", "O", "P"):
+        tables.refresh_table(result(orders.where(F.col("o_orderstatus") == status)), path)
+    return tables.refresh_table(result(orders), path)
 
 
 def _upsert_batch(orders: DataFrame) -> DataFrame:
@@ -89,6 +88,30 @@ def upsert_table(spark, sf_dir):
     return tables.upsert_table(spark, old, _upsert_batch(orders), ["o_orderkey"], ["seq"], out)
 
 
+def upsert_bucketed(spark, sf_dir):
+    """The same batch into a table bucketed by key."""
+    path, orders = new_path(spark, "bucketed"), _orders(spark, sf_dir)
+    snapshots.replace_snapshot(orders, path, ["o_orderkey"], 16)
+    return snapshots.upsert_snapshot(spark, path, _upsert_batch(orders), ["o_orderkey"], ["seq"])
+
+
+def upsert_two_loads(spark, sf_dir):
+    """Two loads accumulate: finished and open orders, then open (changed) and pending ones."""
+    path, orders = new_path(spark, "loads"), _orders(spark, sf_dir).withColumn("seq", F.lit(1))
+    second = orders.where("o_orderstatus <> 'F'").withColumn(
+        "o_totalprice", F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    snapshots.upsert_snapshot(spark, path, orders.where("o_orderstatus <> 'P'"), ["o_orderkey"], ["seq"], buckets=16)
+    return snapshots.upsert_snapshot(spark, path, second, ["o_orderkey"], ["seq"]).drop("seq")
+
+
+def scan_csv_tokens(spark, sf_dir):
+    """Orders written as CSV with missing-value tokens in number columns, read without a schema."""
+    path = new_path(spark, "csv")
+    token = lambda c: F.when(F.col("o_orderpriority") == "5-LOW", "N/A").otherwise(F.col(c).cast("string"))
+    _orders(spark, sf_dir).withColumns({c: token(c) for c in ("o_custkey", "o_totalprice")}).write.option("header", True).csv(path)
+    return files.scan_csv(spark, path).withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
+
+
 def apply_status_updates(spark, sf_dir):
     """Orders as actions; pending ones are resolved, then half of them reopened or given a bad status."""
     orders = table(spark, sf_dir, "orders").select(
@@ -186,6 +209,9 @@ QUERIES = {
     "refresh_table": refresh_table,
     "upsert_latest": upsert_latest,
     "upsert_table": upsert_table,
+    "upsert_bucketed": upsert_bucketed,
+    "upsert_two_loads": upsert_two_loads,
+    "scan_csv_tokens": scan_csv_tokens,
     "apply_status_updates": apply_status_updates,
     "load_counts": load_counts,
 }
@@ -208,10 +234,15 @@ ORACLES = {
     "select cast(0 as int) as position, 'Customers' as sheet, count(*) as workbooks from b "
     "union all select cast(1 as int), 'Settings', count(*) from b",
     "scan_table": "select o_orderkey, o_custkey, o_totalprice from orders",
-    "replace_table": f"select {_COLUMNS} from orders where o_orderstatus = 'O'",
-    "refresh_table": "select o_custkey, count(*) as orders from orders where o_orderstatus = 'P' group by o_custkey",
+    "replace_table": f"select {_COLUMNS} from orders",
+    "refresh_table": "select o_custkey, count(*) as orders from orders group by o_custkey",
     "upsert_latest": _UPSERTED,
     "upsert_table": _UPSERTED,
+    "upsert_bucketed": _UPSERTED,
+    "upsert_two_loads": "select o_orderkey, o_custkey, o_orderstatus, case when o_orderstatus = 'O' then o_totalprice + 1 else o_totalprice end "
+    "as o_totalprice, o_orderpriority from orders",
+    "scan_csv_tokens": "select o_orderkey, case when o_orderpriority <> '5-LOW' then o_custkey end as o_custkey, o_orderstatus, "
+    "case when o_orderpriority <> '5-LOW' then o_totalprice end as o_totalprice, o_orderpriority from orders",
     "apply_status_updates": "select o_orderkey as id, case when o_orderstatus = 'P' and o_orderpriority <> '1-URGENT' "
     "then 'RESOLVED' else 'PENDING' end as status from orders",
     "load_counts": "select 'customer' as table_name, count(*) as rows_loaded from customer "

@@ -46,6 +46,15 @@ def test_scan_csv(spark, tmp_path):
     assert files.preview(inferred, 2).count() == 2
 
 
+def test_types_are_inferred_without_tokens(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text('id,score,mixed,none,big,a.b\n1,NA,1,NA,9999999999,x\nN/A, 2.5 ,x,,null,1\n3,1e2,2,n/a,7,2\n')
+    got = files.scan_csv(spark, str(path))
+    assert dict(got.dtypes) == {"id": "bigint", "score": "double", "mixed": "string", "none": "string", "big": "bigint", "a.b": "string"}
+    assert [tuple(r) for r in got.collect()] == [
+        (1, None, "1", None, 9999999999, "x"), (None, 2.5, "x", None, None, "1"), (3, 100.0, "2", None, 7, "2")]
+
+
 def _workbook(path, rows_xml, shared):
     with zipfile.ZipFile(path, "w") as book:
         book.writestr("xl/workbook.xml", '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" '
