@@ -1,8 +1,7 @@
 """Joins. Broadcast or shuffle is the planner's choice from known sizes.
 
-Adaptive execution splits a shuffled partition that one key makes too large.
-Where it may not (a grouping on the same key follows), ``join_salted`` spreads
-the hot keys itself.
+Adaptive execution splits a shuffled partition that one key makes too large;
+where a grouping on the same key follows, rows are counted before they join.
 """
 
 from __future__ import annotations
@@ -25,29 +24,6 @@ def join_composite(base: DataFrame, first: DataFrame, second: DataFrame, key: st
     return base.join(first.join(second, [key, item]), key)
 
 
-def join_salted(
-    fact: DataFrame, dim: DataFrame, on: str, how: str = "inner", *, salts: int = 64, hot_share: float = 1 / 1024
-) -> DataFrame:
-    """Join on a key that may hold a large share of ``fact``'s rows.
-
-    Keys above ``hot_share`` of all rows (at most ``1 / hot_share`` of them, so
-    their list is small by construction) get a random-looking but repeatable
-    salt on the fact side and are copied once per salt on the ``dim`` side.
-    Every other key joins as usual.
-    """
-    if how not in ("inner", "left"):
-        raise ValueError("join_salted supports inner and left joins")
-    counts = fact.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
-    rows = fact.count()
-    hot = counts.where(F.col("_n") > max(1.0, rows * hot_share)).select(on, F.lit(True).alias("_hot"))
-    hot = F.broadcast(hot)  # at most 1 / hot_share rows
-    spread = F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int")
-    salted_fact = fact.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_dim = dim.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted_fact.join(salted_dim, [on, "_salt"], how).drop("_salt")
-
-
 def join_lookup_default(
     rows: DataFrame, details: DataFrame, key: str, defaults: dict[str, Column], order: list[str]
 ) -> DataFrame:
