@@ -28,7 +28,7 @@ from scorewright.sources.naming import check_mapping, rename_mapped
 
 def drop_blank_rows(df: DataFrame, ignore: list[str] = ()) -> DataFrame:
     """Drop rows whose every column (but ``ignore``) is null."""
-    return df.na.drop("all", subset=[c for c in df.columns if c not in ignore])
+    return df.na.drop("all", subset=[f"`{c}`" for c in df.columns if c not in ignore])
 
 
 def dedup_rows(df: DataFrame, order: str | None = None) -> DataFrame:
@@ -36,24 +36,24 @@ def dedup_rows(df: DataFrame, order: str | None = None) -> DataFrame:
     if order is None:
         return df.distinct()
     rest = [c for c in df.columns if c != order]
-    return df.groupBy(*rest).agg(F.min(order).alias(order)).select(*df.columns)
+    return df.groupBy(*[ref(c) for c in rest]).agg(F.min(ref(order)).alias(order)).select(*[ref(c) for c in df.columns])
 
 
 def clean_text_columns(df: DataFrame, columns: list[str] = TEXT_FIELDS, title: list[str] = ("subject",)) -> DataFrame:
     """Strip, null the missing-value tokens, and title-case the ``title`` columns."""
-    used = {c: clean_text(F.col(c)) for c in columns if c in df.columns}
-    used.update({c: title_case(used.get(c, F.col(c))) for c in title if c in df.columns})
+    used = {c: clean_text(ref(c)) for c in columns if c in df.columns}
+    used.update({c: title_case(used.get(c, ref(c))) for c in title if c in df.columns})
     return df.withColumns(used) if used else df
 
 
 def coerce_numeric(df: DataFrame, columns: list[str] = NUMERIC_FIELDS) -> DataFrame:
     """Parse to double; what is no number becomes null."""
-    used = {c: parse_number(F.col(c), df.schema[c].dataType) for c in columns if c in df.columns}
+    used = {c: parse_number(ref(c), df.schema[c].dataType) for c in columns if c in df.columns}
     return df.withColumns(used) if used else df
 
 
 def clip_range(df: DataFrame, rules: list[MeasureRule] = ACADEMIC_RULES) -> DataFrame:
-    used = {r.column: clip(F.col(r.column), r.low, r.high) for r in rules if r.column in df.columns}
+    used = {r.column: clip(ref(r.column), r.low, r.high) for r in rules if r.column in df.columns}
     return df.withColumns(used) if used else df
 
 
@@ -91,7 +91,7 @@ class IndexPart:
         return any(c in df.columns for c in self.columns)
 
     def value(self, df: DataFrame) -> Column:
-        present = [F.col(c) for c in self.columns if c in df.columns]
+        present = [ref(c) for c in self.columns if c in df.columns]
         total = reduce(lambda a, b: a + b, present)
         return total if self.out_of == 100.0 else total / F.lit(self.out_of) * 100.0
 
@@ -129,7 +129,7 @@ def row_mean_index(
     df: DataFrame, measures: list[str], *, alias: str = "performance_index", digits: int | None = 2
 ) -> DataFrame:
     """Mean of the row's score columns, nulls skipped."""
-    return df.withColumn(alias, round_even(mean_of_present([F.col(c) for c in measures]), digits))
+    return df.withColumn(alias, round_even(mean_of_present([ref(c) for c in measures]), digits))
 
 
 def scale_score(df: DataFrame, index: str = "performance_index", alias: str = "current_gpa", digits: int | None = 2):
@@ -165,7 +165,7 @@ def cleaning_audit_by_column(
     """Per measure: texts turned null, nulls to fill, values out of range (after dedup)."""
     rows = rename_mapped(drop_blank_rows(df), mapping).distinct()
     used = [r for r in rules if r.column in rows.columns]
-    parsed = {r: parse_number(F.col(r.column), rows.schema[r.column].dataType) for r in used}
+    parsed = {r: parse_number(ref(r.column), rows.schema[r.column].dataType) for r in used}
 
     def count(flag: Column) -> Column:
         return F.count_if(flag)
@@ -173,7 +173,7 @@ def cleaning_audit_by_column(
     counted = rows.agg(*[
         F.struct(
             F.lit(r.column).alias("column_name"),
-            count(value.isNull() & F.col(r.column).isNotNull()).alias("coerced"),
+            count(value.isNull() & ref(r.column).isNotNull()).alias("coerced"),
             count(value.isNull()).alias("filled"),
             count(outside(value, r.low, r.high)).alias("corrected"),
         ).alias(f"_{i}")
@@ -187,15 +187,19 @@ def cleaning_audit(
     mapping: dict[str, str],
     rules: list[MeasureRule] = ACADEMIC_RULES,
     text_columns: list[str] = TEXT_FIELDS,
+    measures: list[str] = (),
 ) -> DataFrame:
     """What cleaning ``df`` changes, in one row and one shuffle.
 
+    ``measures`` are the discovered score columns, audited by the same range as
+    cleaning gives them (``discover_measures`` of the mapped frame finds them).
+
     A text that is no number counts twice in ``missing_filled``: once when it
     becomes null and once when that null is filled.
     """
     rows = rename_mapped(collapse_rows(drop_blank_rows(df)), mapping)
-    used = [r for r in rules if r.column in rows.columns]
-    parsed = {r: parse_number(F.col(r.column), rows.schema[r.column].dataType) for r in used}
+    used = [r for r in [*rules, *[score_rule(c) for c in measures]] if r.column in rows.columns]
+    parsed = {r: parse_number(ref(r.column), rows.schema[r.column].dataType) for r in used}
     zero = F.lit(0).cast("bigint")
 
     def total(parts: list[Column]) -> Column:
@@ -205,10 +209,10 @@ def cleaning_audit(
         return F.when(flag, 1).otherwise(0).cast("bigint")
 
     filled = [one_if(v.isNull()) for v in parsed.values()] + [
-        one_if(v.isNull() & F.col(r.column).isNotNull()) for r, v in parsed.items()
+        one_if(v.isNull() & ref(r.column).isNotNull()) for r, v in parsed.items()
     ]
     padded = [
-        F.coalesce(strip(F.col(c)) != F.col(c).cast("string"), F.lit(False)) for c in text_columns if c in rows.columns
+        F.coalesce(strip(ref(c)) != ref(c).cast("string"), F.lit(False)) for c in text_columns if c in rows.columns
     ]
     return rows.agg(
         F.coalesce(F.sum(F.col(COPIES) - 1), zero).alias("duplicates_removed"),

@@ -7,12 +7,14 @@ sum over the collapsed rows: one scan and one shuffle for the whole report.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from scorewright.functions.numbers import outside, parse_number
 from scorewright.presets import ACADEMIC_RANGES, MeasureRule
+from scorewright.sources.naming import check_mapping
 
 _N = "_copies"
 
@@ -120,12 +122,17 @@ def dq_overall(graded: DataFrame) -> DataFrame:
     return graded.withColumn("overall_status", worst(*statuses))
 
 
-def quality_report(df: DataFrame, ranges: dict[str, list[MeasureRule]] = ACADEMIC_RANGES) -> DataFrame:
+def quality_report(
+    df: DataFrame, ranges: dict[str, list[MeasureRule]] = ACADEMIC_RANGES, mapping: dict[str, str] | None = None
+) -> DataFrame:
     """All figures and grades in one row.
 
     ``ranges`` holds the rules counted as invalid marks and invalid attendance,
-    naming columns of ``df``.
+    naming columns of ``df``, or fields that ``mapping`` has the columns of.
     """
+    if mapping:
+        used = check_mapping(df.columns, mapping)
+        ranges = {name: [replace(r, column=used.get(r.column, r.column)) for r in rules] for name, rules in ranges.items()}
     rows = collapse_rows(df)
     copies = F.col(_N)
     total = F.coalesce(F.sum(copies), F.lit(0)).cast("bigint")

@@ -145,15 +145,28 @@ def clean_records(spark, sf_dir):
     return rows
 
 
-def clean_records_wide(spark, sf_dir):
-    """One row per line with score columns only: discovered, clipped, filled and averaged."""
-    wide = table(spark, sf_dir, "lineitem").select(
+def _wide(spark, sf_dir, maths="maths"):
+    return table(spark, sf_dir, "lineitem").select(
         F.expr("concat('L', l_orderkey, '-', l_partkey, '-', l_suppkey)").alias("Name"),
-        F.expr("case when l_tax > 0.075 then null else l_quantity * 2.5 end").alias("maths"),
+        F.expr("case when l_tax > 0.075 then null else l_quantity * 2.5 end").alias(maths),
         F.expr("case when l_discount > 0.095 then null else l_extendedprice / 1000.0 end").alias("science"),
         F.expr("case when l_tax < 0.005 then -1.0 else abs(l_tax) * 1000.0 end").alias("english"),
     )
-    return C.clean_records(wide, {"student_name": "Name"})
+
+
+def clean_records_wide(spark, sf_dir):
+    """One row per line with score columns only: discovered, clipped, filled and averaged."""
+    return C.clean_records(_wide(spark, sf_dir), {"student_name": "Name"})
+
+
+def clean_records_dotted(spark, sf_dir):
+    """The same with a score column that has a dot in its name."""
+    return C.clean_records(_wide(spark, sf_dir, "maths.1"), {"student_name": "Name"}).withColumnsRenamed({"maths.1": "maths"})
+
+
+def cleaning_audit_wide(spark, sf_dir):
+    """What cleaning changes in discovered score columns."""
+    return C.cleaning_audit(_wide(spark, sf_dir, "maths.1"), {"student_name": "Name"}, measures=["maths.1", "science", "english"])
 
 
 # at the smallest scale a few lines share all three keys
@@ -241,6 +254,8 @@ QUERIES = {
     "display_name": display_names,
     "clean_records": clean_records,
     "clean_records_wide": clean_records_wide,
+    "clean_records_dotted": clean_records_dotted,
+    "cleaning_audit_wide": cleaning_audit_wide,
     "split_star_students": split_star("students"),
     "split_star_subjects": split_star("subjects"),
     "split_star_learning_behavior": split_star("learning_behavior"),
@@ -474,3 +489,16 @@ ORACLES = {
         from counted
     """,
 }
+ORACLES["clean_records_dotted"] = ORACLES["clean_records_wide"]
+ORACLES["cleaning_audit_wide"] = """
+    with w as (select concat('L', l_orderkey, '-', l_partkey, '-', l_suppkey) as student_name,
+            case when l_tax > 0.075 then null else l_quantity * 2.5 end as maths,
+            case when l_discount > 0.095 then null else l_extendedprice / 1000.0 end as science,
+            case when l_tax < 0.005 then -1.0 else abs(l_tax) * 1000.0 end as english from lineitem),
+    d as (select distinct * from w)
+    select (select count(*) from w) - count(*) as duplicates_removed,
+           count(*) filter (maths is null) + count(*) filter (science is null) as missing_filled,
+           count(*) filter (maths not between 0 and 100) + count(*) filter (science not between 0 and 100)
+           + count(*) filter (english not between 0 and 100) as marks_corrected,
+           cast(0 as bigint) as attendance_corrected, cast(0 as bigint) as trimmed_records from d
+"""

@@ -178,15 +178,6 @@ def test_repeated_and_null_keys_are_quarantined(spark):
     assert report.where("table_name = 'attendance'").count() == 6 and report.where("violations > 0").count() == 0
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_join_salted(spark, how):
-    fact = spark.range(300).selectExpr("id", "case when id < 200 then 1 when id = 299 then 77 else id % 7 end as k")
-    dim = spark.createDataFrame([(i, f"d{i}") for i in range(7)], "k bigint, name string")
-    got = J.join_salted(fact, dim, "k", how, salts=8, hot_share=0.1)
-    want = fact.join(dim, "k", how)
-    assert sorted(map(tuple, got.select("id", "k", "name").collect()), key=str) == sorted(map(tuple, want.select("id", "k", "name").collect()), key=str)
-
-
 def test_lookup_defaults(spark):
     rows = spark.createDataFrame([("a",), ("b",)], "student_id string")
     details = spark.createDataFrame([("a", "Second", 2), ("a", "First", 1)], "student_id string, student_name string, seq int")
