@@ -11,11 +11,13 @@ The first four return the columns of documents; ``n_chars``, where there is one,
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scorewright.llm import bagminhash, line_windows, packing, rule_ensemble, secret_scan
-from scorewright.session import materialise
+from scorewright.session import settled
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -50,7 +52,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        rows = materialise(stage(spark, rows, sf_dir), name)
+        rows = settled(spark, partial(stage, spark, rows, sf_dir), name)  # what the stage staged on its way is deleted
     return rows
 
 
