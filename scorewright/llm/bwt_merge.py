@@ -309,7 +309,7 @@ def _intervals(texts: DataFrame, length: int) -> DataFrame:
     copies = F.sum((F.col("place").bitwiseAND(1)) + 1)
     blocks = (anchors.groupBy("name").agg(copies.alias("n"), F.min("context").alias("c"), F.max("context").alias("d"))
               .where("n > 1").select("name", (F.col("c") == F.col("d")).alias("alike")))
-    return anchors.join(blocks, "name")
+    return anchors.join(materialise(blocks, "blocks"), "name")  # written, so that the join of a hot block can be split
 
 
 def merged(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
