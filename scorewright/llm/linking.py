@@ -1,16 +1,16 @@
 """Classes of near copies: bands joined in Spark, candidates verified, links followed to components.
 
 Equal texts are one node (a 128-bit hash of the text). Nodes that share a band meet in a bucket. A bucket of n nodes
-does not make n * n pairs: every node is verified against the bucket's head, the node that meets most others, and
-linked nodes become components. Where a bucket still holds several components, a pass follows: in one of at most
-``EACH`` nodes all pairs across components are verified, at most EACH / 2 a node; in a larger one a next head is
-verified against all nodes of other components, ``HEADS`` times in all. What large buckets then hold of several
+does not make n * n pairs: the node that meets most others is its head. Every node is verified against the best head of
+its buckets, and linked nodes become components. Where a bucket still holds several components, one more pass follows:
+in one of at most ``EACH`` nodes all pairs across components are verified, at most EACH / 2 a node; in a larger one its
+head is verified against all nodes of other components. What large buckets then hold of several
 components is settled exactly by prefix filtering: two sets of sizes s and t and a Jaccard similarity of ``similar`` or
 more share o >= similar / (1 + similar) * (s + t) shingles, so in any common order of shingles the first s - o + 1 of
 one and t - o + 1 of the other share one. The order is by rarity, so that few others share it. Of two nodes of one
 bucket in different components one is outside the bucket's largest component; such nodes emit their whole prefix, the
 others only what may stand in one of those. Every pair across components that meets is verified. A multiset counts as
-the set of its numbered shingles. A node stands in as many buckets as it has bands, each with heads of its own.
+the set of its numbered shingles.
 
 Components come from label passing with shortcuts. Pairs and links are folders that passes append to, so no plan grows
 with the passes, and their number is fixed. Nothing is collected but counts and marks of ``CELLS`` cells of shingle
@@ -30,7 +30,6 @@ from scorewright.llm.shingles import mix, whole_shingles
 from scorewright.session import Grown, materialise, settled
 
 EACH = 32
-HEADS = 2
 ROWS_PER_TASK = 1_000
 CELLS = 1 << 18
 Bands = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
@@ -103,9 +102,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _heads(members: DataFrame) -> DataFrame:
-    """(band, head): of each bucket the node that meets most others in all its buckets."""
-    best = F.min(F.struct((-F.col("weight")).alias("order"), "node"))
-    return members.groupBy("band").agg(best.alias("best")).select("band", F.col("best.node").alias("head"))
+    """(band, head, rank): of each bucket the node that meets most others in all its buckets, and how many it meets."""
+    best = F.max(F.struct("weight", "node"))
+    return members.groupBy("band").agg(best.alias("best")).select("band", F.col("best.node").alias("head"), F.col("best.weight").alias("rank"))
 
 
 def _elements(batch: pa.RecordBatch, elements_of: Elements) -> list[np.ndarray]:
@@ -222,7 +221,6 @@ def _labelled(docs: DataFrame, sketches: DataFrame, similarity, similar: float,
              .join(met.select(F.col("node").alias("of"), "first").hint("shuffle_hash"),
                    F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("node") == F.col("of"))).select("node", "text"))
     texts = materialise(texts, "texts")
-    used = Grown(spark, "band long, node binary", "heads")
     tested, links = (Grown(spark, "a binary, b binary", label) for label in ("pairs", "links"))
 
     def verify(pairs: DataFrame) -> bool:
@@ -232,22 +230,17 @@ def _labelled(docs: DataFrame, sketches: DataFrame, similarity, similar: float,
         links.add(found)
         return not found.isEmpty()
 
-    used.add(_heads(shared).select("band", F.col("head").alias("node")))
-    verify(_ordered(shared.join(used.table().withColumnRenamed("node", "head"), "band").where("node != head")
-                    .select(F.col("node").alias("a"), F.col("head").alias("b"))))
+    heads = materialise(_heads(shared), "heads")
+    best = (shared.join(heads, "band").where("node != head").groupBy("node")
+            .agg(F.max(F.struct("rank", "head")).alias("best")).select(F.col("node").alias("a"), F.col("best.head").alias("b")))
+    verify(_ordered(best))
     labels = components(links.table())
-    for turn in range(1, HEADS):
-        large, own = _unsettled(shared, labels)
-        heads = materialise(_heads(large.join(used.table(), ["band", "node"], "left_anti")), "heads")
-        used.add(heads.select("band", F.col("head").alias("node")))
-        of = large.select("band", F.col("node").alias("head"), F.col("label").alias("other"))
-        fresh = large.join(heads.join(of, ["band", "head"]), "band").where("label != other").select(F.col("node").alias("a"), F.col("head").alias("b"))
-        if turn == 1:
-            small = own.where(F.col("n") <= EACH)
-            others = small.select("band", F.col("node").alias("b"), F.col("label").alias("other"))
-            fresh = fresh.union(small.join(others, "band").where("label < other").select(F.col("node").alias("a"), "b"))
-        if not verify(_ordered(fresh)):
-            break
+    large, own = _unsettled(shared, labels)
+    of = large.join(heads.select("band", F.col("head").alias("node")), ["band", "node"]).select("band", F.col("node").alias("b"), F.col("label").alias("other"))
+    small = own.where(F.col("n") <= EACH)
+    others = small.select("band", F.col("node").alias("b"), F.col("label").alias("other"))
+    fresh = large.join(of, "band").where("label != other").union(small.join(others, "band").where("label < other"))
+    if verify(_ordered(fresh.select(F.col("node").alias("a"), "b"))):
         labels = components(links.table())
     large, _ = _unsettled(shared, labels)
     per = large.groupBy("band", "label").agg(F.count("*").alias("many"))
