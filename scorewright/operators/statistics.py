@@ -78,10 +78,12 @@ def iqr_outliers(df: DataFrame, value: str, columns: list[str] | None = None) ->
     """Rows below Q1 - 1.5 IQR or above Q3 + 1.5 IQR; none if fewer than four values.
 
     The two fences are plain numbers by the time rows are read, so the filter
-    reaches the file scan.
+    reaches the file scan. The values are stored on their own, so that the passes
+    over them do not repeat the plan behind ``df``.
     """
     picked = df.select(*columns) if columns else df
-    quartiles = wide_quantiles(df, [value], [0.25, 0.75]).first()  # one row
+    values = materialise(df.select(F.col(value).cast("double").alias("value")), "values")
+    quartiles = wide_quantiles(values, ["value"], [0.25, 0.75]).first()  # one row
     if quartiles["n0"] < MIN_ROWS_OUTLIERS:
         return picked.where(F.lit(False))
     spread = quartiles["q1"] - quartiles["q0"]
