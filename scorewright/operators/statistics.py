@@ -125,20 +125,17 @@ def correlate_pearson(df: DataFrame, variables: list[str], target: str) -> DataF
 def correlate_spearman(df: DataFrame, variables: list[str], target: str) -> DataFrame:
     """variable, n, spearman_coef and |t|: Pearson on tie-averaged ranks.
 
-    Pairs are collapsed to counts, ranks come from value counts, and ranks
-    join pairs on the value: no row is ever numbered globally.
+    Equal rows are collapsed to counts before they are laid out as pairs, so a
+    row moves once, not once per variable; ranks come from value counts, and
+    ranks join pairs on the value: no row is ever numbered globally.
     """
+    wide = df.select(F.col(target).cast("double").alias("y"), *[F.col(v).cast("double").alias(f"_x{i}") for i, v in enumerate(variables)])
+    counted = wide.where(F.col("y").isNotNull()).groupBy(*wide.columns).agg(F.count(F.lit(1)).alias("n"))
     entries = [
-        F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x"), F.col(target).cast("double").alias("y"))
-        for v in variables
+        F.struct(F.lit(v).alias("variable"), F.col(f"_x{i}").alias("x"), F.col("y").alias("y"), F.col("n").alias("n"))
+        for i, v in enumerate(variables)
     ]
-    pairs = materialise(
-        df.select(F.inline(F.array(*entries)))
-        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy("variable", "x", "y")
-        .agg(F.count(F.lit(1)).alias("n")),
-        "pairs",
-    )
+    pairs = materialise(counted.select(F.inline(F.array(*entries))).where(F.col("x").isNotNull()), "pairs")
 
     def ranks(side: str) -> DataFrame:
         counted = materialise(pairs.groupBy("variable", side).agg(F.sum("n").alias("n")), "ranks")
