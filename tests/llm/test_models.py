@@ -87,6 +87,22 @@ def test_toxic(bigger):
     assert agreement(rows, labels, "toxic") >= 0.95
 
 
+def made_up(rng, n):
+    return " ".join(rng.choice("abcdefgh") + rng.choice("klmnop") + str(rng.randrange(60)) for _ in range(n))
+
+
+def test_words_of_copies_and_unsampled_words_are_not_toxic(spark):
+    rng = random.Random(11)
+    texts = [(f"{made_up(rng, 60)} sludge {made_up(rng, 60)}", 1) for _ in range(60)]
+    odd = f"{made_up(rng, 60)} harmless {made_up(rng, 60)} sludge".split()
+    texts += [(" ".join(w if rng.random() > 0.1 or w in ("harmless", "sludge") else made_up(rng, 1) for w in odd), 1) for _ in range(30)]
+    texts += [(made_up(rng, 120) + (" common" if i % 40 == 0 else ""), 0) for i in range(1200)]
+    texts += [(f"{made_up(rng, 120)} common sludge", 1) for _ in range(8)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    assert set(nearest_toxic.fit(docs, labels, 100).idf) == {"sludge"}
+
+
 def test_block_max_search_is_exact():
     rng = random.Random(4)
     vectors = []
