@@ -84,3 +84,20 @@ def test_first_word_spoils_one_shingle(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for classes in (bagminhash.copy_classes, minhash.similar_classes):
         assert sorted((r.doc_id, r.class_id) for r in classes(docs).collect()) == [(0, 0), (1, 0), (2, 0), (3, 3)]
+
+
+def test_later_links_join_components(spark, monkeypatch):
+    rng = random.Random(3)
+    draw = lambda n: [tuple(sorted(rng.sample(range(200), 2))) for _ in range(n)]
+    first, later = draw(90), draw(60)
+    frame = lambda links: spark.createDataFrame(links, "a long, b long")
+    plain = linking.components
+    labels = plain(frame(first))
+    component = dict(labels.collect())
+    followed = []
+    monkeypatch.setattr(linking, "components", lambda links: (followed.append(links.count()), plain(links))[1])
+    got = dict(linking.joined(labels, frame(later)).collect())
+    monkeypatch.undo()
+    assert got == dict(plain(frame(first + later)).collect())
+    assert followed == [sum(component.get(a, a) != component.get(b, b) for a, b in later)]
+    assert dict(linking.joined(labels, frame([])).collect()) == component
