@@ -26,6 +26,9 @@ TEST_SHARE, SEED = 0.3, 42
 # Trees grow until pure in the original; a distributed tree needs a depth bound.
 FOREST_DEPTH = 30
 
+# Rows of a training task; smaller tables are dealt over the tasks of LEAST_TASKS, of LEAST_ROWS at least.
+TASK_ROWS, LEAST_TASKS, LEAST_ROWS = 40_000, 16, 500
+
 
 def risk_label(df: DataFrame, bounds: dict[str, float] = RISK_BOUNDS, alias: str = LABEL) -> DataFrame:
     """1 where any bounded column is below its bound (null is not below), else 0."""
@@ -69,27 +72,47 @@ def _stored(model):
     return type(model).load(path)
 
 
-def train_logistic(train: DataFrame, features: list[str], label: str = LABEL):
+def _dealt(train: DataFrame, features: list[str], label: str, entity: str | None) -> tuple[DataFrame, int]:
+    """Feature vectors and labels dealt evenly over tasks, and their number.
+
+    Training passes over the rows many times and its cost is by the row, while files are cut by bytes, so that a few
+    tasks would hold all rows. Tasks and their order are those of a hash of ``entity`` (or of the whole row): bootstrap
+    weights, which are drawn by place, do not depend on the files, and are the same when a lost task runs again.
+    """
+    number = train.count()
+    tasks = max(1, min(LEAST_TASKS, number // LEAST_ROWS), number // TASK_ROWS)
+    dealt = (
+        train.withColumn("_deal", F.xxhash64(entity or "*")).repartition(tasks, "_deal")
+        .sortWithinPartitions("_deal", *features, label)
+    )
+    return _assemble(dealt, features).select("features", F.col(label).cast("double").alias(label)), number
+
+
+def train_logistic(train: DataFrame, features: list[str], label: str = LABEL, *, entity: str | None = None):
     """L2-regularised logistic regression, unit penalty on the summed loss."""
-    rows = _assemble(train, features).select("features", F.col(label).cast("double").alias(label))
+    rows, number = _dealt(train, features, label, entity)
     estimator = LogisticRegression(
-        featuresCol="features", labelCol=label, maxIter=LOGISTIC_ITERATIONS, regParam=1.0 / max(rows.count(), 1),
+        featuresCol="features", labelCol=label, maxIter=LOGISTIC_ITERATIONS, regParam=1.0 / max(number, 1),
         elasticNetParam=0.0, standardization=False, tol=1e-6,
     )
     return _stored(estimator.fit(rows))
 
 
-def train_forest(train: DataFrame, features: list[str], label: str = LABEL, *, depth: int = FOREST_DEPTH):
-    rows = _assemble(train, features).select("features", F.col(label).cast("double").alias(label))
+def train_forest(
+    train: DataFrame, features: list[str], label: str = LABEL, *, depth: int = FOREST_DEPTH, entity: str | None = None
+):
+    """Rows keep the node that each tree has led them to, so that a level costs one step a row and not the way from the
+    root, and tasks are not sent the trees."""
+    rows, _ = _dealt(train, features, label, entity)
     estimator = RandomForestClassifier(
         featuresCol="features", labelCol=label, numTrees=FOREST_TREES, maxDepth=depth, seed=SEED,
-        featureSubsetStrategy="sqrt", maxMemoryInMB=1024,
+        featureSubsetStrategy="sqrt", maxMemoryInMB=1024, cacheNodeIds=True,
     )
     return _stored(estimator.fit(rows))
 
 
-def train_boosted(train: DataFrame, features: list[str], label: str = LABEL):
-    rows = _assemble(train, features).select("features", F.col(label).cast("double").alias(label))
+def train_boosted(train: DataFrame, features: list[str], label: str = LABEL, *, entity: str | None = None):
+    rows, _ = _dealt(train, features, label, entity)
     return GBTClassifier(
         featuresCol="features", labelCol=label, maxIter=BOOSTED_ROUNDS, maxDepth=BOOSTED_DEPTH,
         stepSize=BOOSTED_RATE, seed=SEED, maxMemoryInMB=1024,
@@ -112,11 +135,13 @@ def check_both_classes(df: DataFrame, label: str = LABEL) -> None:
         raise ValueError("training needs both at-risk and not-at-risk examples")
 
 
-def score_all(df: DataFrame, features: list[str], model_name: str = FOREST, label: str = LABEL) -> DataFrame:
+def score_all(
+    df: DataFrame, features: list[str], model_name: str = FOREST, label: str = LABEL, *, entity: str | None = None
+) -> DataFrame:
     """Fit on all rows and score the same rows (optimistic by design; unknown names mean the forest)."""
     table = materialise(df, "to-score")
     check_both_classes(table, label)
-    return predict(TRAINERS.get(model_name, train_forest)(table, features, label), table, features)
+    return predict(TRAINERS.get(model_name, train_forest)(table, features, label, entity=entity), table, features)
 
 
 def feature_importance(model, features: list[str], *, digits: int | None = 3) -> DataFrame:

@@ -130,7 +130,7 @@ def apply_model(
         label=roles.trend if roles.trend in records.columns else None, order=roles.order or records.columns,
     )
     features = [c for c in RISK_FEATURES if c in records.columns]
-    scored = score_all(risk_label(table), features, model_name, LABEL)
+    scored = score_all(risk_label(table), features, model_name, LABEL, entity=entity)
     predictions = risk_bands(scored, entity, PROBABILITY, digits=digits)
     return {
         "predictions": predictions,

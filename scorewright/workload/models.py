@@ -98,7 +98,7 @@ def _split(spark, sf_dir) -> DataFrame:
 def _trained(trainer):
     def run(spark, sf_dir):
         rows = _split(spark, sf_dir)
-        model = trainer(rows.where("not is_test"), ORDER_FEATURES)
+        model = trainer(rows.where("not is_test"), ORDER_FEATURES, entity="student_id")
         scored = R.predict(model, rows.where("is_test"), ORDER_FEATURES)
         return scored.select("student_id", "is_at_risk", "probability")
 
@@ -110,10 +110,8 @@ def train_models(spark, sf_dir):
     rows = _split(spark, sf_dir)
     reports = []
     for name, trainer in R.TRAINERS.items():
-        scored = materialise(
-            R.threshold_predictions(R.predict(trainer(rows.where("not is_test"), ORDER_FEATURES), rows.where("is_test"), ORDER_FEATURES)),
-            "scored",
-        )
+        model = trainer(rows.where("not is_test"), ORDER_FEATURES, entity="student_id")
+        scored = materialise(R.threshold_predictions(R.predict(model, rows.where("is_test"), ORDER_FEATURES)), "scored")
         metrics = E.classification_metrics(scored, "is_at_risk", "prediction")
         auc = E.roc_auc(scored, "is_at_risk", "probability").first()["roc_auc"]
         reports.append(metrics.select(F.lit(name).alias("model"), "*", F.lit(auc).alias("roc_auc")))
@@ -123,14 +121,14 @@ def train_models(spark, sf_dir):
 def feature_importance(spark, sf_dir):
     rows = _split(spark, sf_dir).where("not is_test")
     parts = [
-        R.feature_importance(trainer(rows, ORDER_FEATURES), ORDER_FEATURES).withColumn("model", F.lit(name))
+        R.feature_importance(trainer(rows, ORDER_FEATURES, entity="student_id"), ORDER_FEATURES).withColumn("model", F.lit(name))
         for name, trainer in R.TRAINERS.items()
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
 def score_all(spark, sf_dir):
-    scored = R.score_all(_labelled(spark, sf_dir), ORDER_FEATURES, R.LOGISTIC)
+    scored = R.score_all(_labelled(spark, sf_dir), ORDER_FEATURES, R.LOGISTIC, entity="student_id")
     return R.risk_bands(scored, "student_id")
 
 

@@ -131,3 +131,37 @@ def test_models_apply_in_a_session_with_observed_writes(spark, labelled):
     table = R.risk_label(feature_matrix(labelled, "student_id", ["attendance", "final_exam"]))
     for name in R.TRAINERS:
         assert R.score_all(table, ["attendance", "final_exam"], name).count() == 80
+
+
+@pytest.fixture(scope="module")
+def noisy(spark):
+    return spark.range(8000).selectExpr(
+        "concat('S', id) as student_id", "cast(id % 97 as double) as attendance", "cast(id % 89 as double) as final_exam",
+        "cast(id % 97 < 40 or hash(id) % 5 = 0 as int) as is_at_risk",
+    )
+
+
+@pytest.mark.parametrize("entity", ["student_id", None])
+def test_forest_does_not_depend_on_the_files(noisy, entity):
+    def trained(rows):
+        model = R.train_forest(rows, ["attendance", "final_exam"], depth=4, **({"entity": entity} if entity else {}))
+        return model.toDebugString.split("\n", 1)[1]
+
+    assert trained(noisy.coalesce(1)) == trained(noisy.repartition(5))
+
+
+@pytest.mark.parametrize("name", list(R.TRAINERS))
+def test_training_rows_of_one_file_are_dealt_evenly(noisy, monkeypatch, name):
+    class Seen(Exception):
+        pass
+
+    def fit(self, rows, params=None):
+        raise Seen(rows.rdd.glom().map(len).collect(), self.hasParam("cacheNodeIds") and self.getOrDefault("cacheNodeIds"))
+
+    for estimator in (R.LogisticRegression, R.RandomForestClassifier, R.GBTClassifier):
+        monkeypatch.setattr(estimator, "fit", fit)
+    with pytest.raises(Seen) as seen:
+        R.TRAINERS[name](noisy.coalesce(1), ["attendance", "final_exam"])
+    sizes, cached = seen.value.args
+    assert sum(sizes) == 8000 and len(sizes) == 16 and max(sizes) < 2 * 8000 / 16
+    assert cached == (name == R.FOREST)  # deep trees are not walked from the root at each level
