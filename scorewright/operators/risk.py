@@ -27,7 +27,7 @@ TEST_SHARE, SEED = 0.3, 42
 FOREST_DEPTH = 30
 
 # Rows of a training task; smaller tables are dealt over the tasks of LEAST_TASKS, of LEAST_ROWS at least.
-TASK_ROWS, LEAST_TASKS, LEAST_ROWS = 40_000, 16, 500
+TASK_ROWS, LEAST_TASKS, LEAST_ROWS = 100_000, 16, 500
 
 
 def risk_label(df: DataFrame, bounds: dict[str, float] = RISK_BOUNDS, alias: str = LABEL) -> DataFrame:
