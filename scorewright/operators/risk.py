@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -102,13 +105,14 @@ def train_forest(
     train: DataFrame, features: list[str], label: str = LABEL, *, depth: int = FOREST_DEPTH, entity: str | None = None
 ):
     """Rows keep the node that each tree has led them to, so that a level costs one step a row and not the way from the
-    root, and tasks are not sent the trees."""
+    root, and tasks are not sent the trees. The copy has no training summary (see ``_stored``); to save and load as many
+    nodes as a deep forest has would take the driver longer than to apply it."""
     rows, _ = _dealt(train, features, label, entity)
     estimator = RandomForestClassifier(
         featuresCol="features", labelCol=label, numTrees=FOREST_TREES, maxDepth=depth, seed=SEED,
         featureSubsetStrategy="sqrt", maxMemoryInMB=1024, cacheNodeIds=True,
     )
-    return _stored(estimator.fit(rows))
+    return estimator.fit(rows).copy()
 
 
 def train_boosted(train: DataFrame, features: list[str], label: str = LABEL, *, entity: str | None = None):
@@ -122,6 +126,22 @@ def train_boosted(train: DataFrame, features: list[str], label: str = LABEL, *,
 TRAINERS = {LOGISTIC: train_logistic, FOREST: train_forest, BOOSTED: train_boosted}
 
 
+def train_all(train: DataFrame, features: list[str], label: str = LABEL, *, entity: str | None = None) -> Iterator[tuple]:
+    """Name and model of every trainer, each as it is done: they train side by side on the same rows.
+
+    A training is a long chain of short jobs; what one leaves idle between its jobs and in their last tasks, another
+    uses. Trainers stage no tables, so the caller may while others still train.
+    """
+    as_here = inheritable_thread_target(train.sparkSession)
+    with ThreadPoolExecutor(len(TRAINERS)) as pool:
+        names = {
+            pool.submit(as_here(trainer), train, features, label, entity=entity): name
+            for name, trainer in TRAINERS.items()
+        }
+        for done in as_completed(names):
+            yield names[done], done.result()
+
+
 def predict(model, df: DataFrame, features: list[str], alias: str = PROBABILITY) -> DataFrame:
     """``df`` with the probability of label 1."""
     keep = [c for c in df.columns if c != alias]

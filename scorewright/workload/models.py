@@ -108,23 +108,22 @@ def _trained(trainer):
 def train_models(spark, sf_dir):
     """Metrics of the three classifiers on the same test rows."""
     rows = _split(spark, sf_dir)
-    reports = []
-    for name, trainer in R.TRAINERS.items():
-        model = trainer(rows.where("not is_test"), ORDER_FEATURES, entity="student_id")
+    reports = {}
+    for name, model in R.train_all(rows.where("not is_test"), ORDER_FEATURES, entity="student_id"):
         scored = materialise(R.threshold_predictions(R.predict(model, rows.where("is_test"), ORDER_FEATURES)), "scored")
         metrics = E.classification_metrics(scored, "is_at_risk", "prediction")
         auc = E.roc_auc(scored, "is_at_risk", "probability").first()["roc_auc"]
-        reports.append(metrics.select(F.lit(name).alias("model"), "*", F.lit(auc).alias("roc_auc")))
-    return reduce(DataFrame.unionByName, reports)
+        reports[name] = metrics.select(F.lit(name).alias("model"), "*", F.lit(auc).alias("roc_auc"))
+    return reduce(DataFrame.unionByName, [reports[name] for name in R.TRAINERS])
 
 
 def feature_importance(spark, sf_dir):
     rows = _split(spark, sf_dir).where("not is_test")
-    parts = [
-        R.feature_importance(trainer(rows, ORDER_FEATURES, entity="student_id"), ORDER_FEATURES).withColumn("model", F.lit(name))
-        for name, trainer in R.TRAINERS.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    parts = {
+        name: R.feature_importance(model, ORDER_FEATURES).withColumn("model", F.lit(name))
+        for name, model in R.train_all(rows, ORDER_FEATURES, entity="student_id")
+    }
+    return reduce(DataFrame.unionByName, [parts[name] for name in R.TRAINERS])
 
 
 def score_all(spark, sf_dir):

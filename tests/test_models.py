@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +167,40 @@ def test_training_rows_of_one_file_are_dealt_evenly(noisy, monkeypatch, name):
     sizes, cached = seen.value.args
     assert sum(sizes) == 8000 and len(sizes) == 16 and max(sizes) < 2 * 8000 / 16
     assert cached == (name == R.FOREST)  # deep trees are not walked from the root at each level
+
+
+@pytest.mark.parametrize("query", ["train_models", "feature_importance"])
+def test_models_train_side_by_side(spark, sf_dir, monkeypatch, query):
+    """Each training waits for the others to have begun; results keep the order of the trainers."""
+    begun = threading.Barrier(len(R.TRAINERS), timeout=60)
+
+    def met(trainer):
+        def run(*args, **options):
+            begun.wait()
+            return trainer(*args, **options)
+
+        return run
+
+    for name, trainer in list(R.TRAINERS.items()):
+        monkeypatch.setitem(R.TRAINERS, name, met(R.train_logistic if name == R.FOREST else trainer))
+    names = [r["model"] for r in QUERIES[query](spark, sf_dir).collect()]
+    assert list(dict.fromkeys(names)) == list(R.TRAINERS)
+
+
+def test_a_failing_training_is_reported(noisy, monkeypatch):
+    def fails(*args, **options):
+        raise ValueError("no forest")
+
+    monkeypatch.setitem(R.TRAINERS, R.FOREST, fails)
+    with pytest.raises(ValueError, match="no forest"):
+        list(R.train_all(noisy, ["attendance", "final_exam"]))
+
+
+def test_forest_applies_without_a_stored_copy(noisy, monkeypatch):
+    """Saving and loading costs the driver more than applying the forest, and changes no probability."""
+    stored = R._stored
+    monkeypatch.setattr(R, "_stored", lambda model: pytest.fail("the forest was saved"))
+    model = R.train_forest(noisy, ["attendance", "final_exam"], depth=6)
+    assert not model.hasSummary
+    again = {r["student_id"]: r["probability"] for r in R.predict(stored(model), noisy, ["attendance", "final_exam"]).collect()}
+    assert again == {r["student_id"]: r["probability"] for r in R.predict(model, noisy, ["attendance", "final_exam"]).collect()}
