@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scorewright.functions.numbers import round_even
+from scorewright.operators.forest import Forest, grow_forest
 from scorewright.operators.ordering import running_counts
 from scorewright.presets import RISK_BOUNDS, RISK_LEVELS, RISK_LEVEL_DEFAULT
 from scorewright.session import materialise, new_path
@@ -32,6 +33,9 @@ FOREST_DEPTH = 30
 # Rows of a training task; smaller tables are dealt over the tasks of LEAST_TASKS, of LEAST_ROWS at least.
 TASK_ROWS, LEAST_TASKS, LEAST_ROWS = 100_000, 16, 500
 
+# A forest of more rows is grown by ``grow_forest``: Spark's own passes over all rows for each of its 31 levels.
+FOREST_PASS_ROWS = 200_000
+
 
 def risk_label(df: DataFrame, bounds: dict[str, float] = RISK_BOUNDS, alias: str = LABEL) -> DataFrame:
     """1 where any bounded column is below its bound (null is not below), else 0."""
@@ -76,7 +80,7 @@ def _stored(model):
 
 
 def _dealt(train: DataFrame, features: list[str], label: str, entity: str | None) -> tuple[DataFrame, int]:
-    """Feature vectors and labels dealt evenly over tasks, and their number.
+    """Rows dealt evenly over tasks, and their number.
 
     Training passes over the rows many times and its cost is by the row, while files are cut by bytes, so that a few
     tasks would hold all rows. Tasks and their order are those of a hash of ``entity`` (or of the whole row): bootstrap
@@ -88,7 +92,11 @@ def _dealt(train: DataFrame, features: list[str], label: str, entity: str | None
         train.withColumn("_deal", F.xxhash64(entity or "*")).repartition(tasks, "_deal")
         .sortWithinPartitions("_deal", *features, label)
     )
-    return _assemble(dealt, features).select("features", F.col(label).cast("double").alias(label)), number
+    return dealt, number
+
+
+def _vectors(dealt: DataFrame, features: list[str], label: str) -> DataFrame:
+    return _assemble(dealt, features).select("features", F.col(label).cast("double").alias(label))
 
 
 def train_logistic(train: DataFrame, features: list[str], label: str = LABEL, *, entity: str | None = None):
@@ -98,7 +106,7 @@ def train_logistic(train: DataFrame, features: list[str], label: str = LABEL, *,
         featuresCol="features", labelCol=label, maxIter=LOGISTIC_ITERATIONS, regParam=1.0 / max(number, 1),
         elasticNetParam=0.0, standardization=False, tol=1e-6,
     )
-    return _stored(estimator.fit(rows))
+    return _stored(estimator.fit(_vectors(rows, features, label)))
 
 
 def train_forest(
@@ -106,13 +114,16 @@ def train_forest(
 ):
     """Rows keep the node that each tree has led them to, so that a level costs one step a row and not the way from the
     root, and tasks are not sent the trees. The copy has no training summary (see ``_stored``); to save and load as many
-    nodes as a deep forest has would take the driver longer than to apply it."""
-    rows, _ = _dealt(train, features, label, entity)
+    nodes as a deep forest has would take the driver longer than to apply it. Beyond ``FOREST_PASS_ROWS`` rows the forest
+    is grown, and applied, without a pass over all rows for each level and without all nodes in one place."""
+    rows, number = _dealt(train, features, label, entity)
+    if number > FOREST_PASS_ROWS:
+        return grow_forest(rows, number, features, label, trees=FOREST_TREES, depth=depth, seed=SEED)
     estimator = RandomForestClassifier(
         featuresCol="features", labelCol=label, numTrees=FOREST_TREES, maxDepth=depth, seed=SEED,
         featureSubsetStrategy="sqrt", maxMemoryInMB=1024, cacheNodeIds=True,
     )
-    return estimator.fit(rows).copy()
+    return estimator.fit(_vectors(rows, features, label)).copy()
 
 
 def train_boosted(train: DataFrame, features: list[str], label: str = LABEL, *, entity: str | None = None):
@@ -120,7 +131,7 @@ def train_boosted(train: DataFrame, features: list[str], label: str = LABEL, *,
     return GBTClassifier(
         featuresCol="features", labelCol=label, maxIter=BOOSTED_ROUNDS, maxDepth=BOOSTED_DEPTH,
         stepSize=BOOSTED_RATE, seed=SEED, maxMemoryInMB=1024,
-    ).fit(rows)
+    ).fit(_vectors(rows, features, label))
 
 
 TRAINERS = {LOGISTIC: train_logistic, FOREST: train_forest, BOOSTED: train_boosted}
@@ -130,7 +141,7 @@ def train_all(train: DataFrame, features: list[str], label: str = LABEL, *, enti
     """Name and model of every trainer, each as it is done: they train side by side on the same rows.
 
     A training is a long chain of short jobs; what one leaves idle between its jobs and in their last tasks, another
-    uses. Trainers stage no tables, so the caller may while others still train.
+    uses. The caller may stage tables while others still train.
     """
     as_here = inheritable_thread_target(train.sparkSession)
     with ThreadPoolExecutor(len(TRAINERS)) as pool:
@@ -145,6 +156,8 @@ def train_all(train: DataFrame, features: list[str], label: str = LABEL, *, enti
 def predict(model, df: DataFrame, features: list[str], alias: str = PROBABILITY) -> DataFrame:
     """``df`` with the probability of label 1."""
     keep = [c for c in df.columns if c != alias]
+    if isinstance(model, Forest):
+        return model.predict(df.select(*keep), features, alias)
     scored = model.transform(_assemble(df.select(*keep), features))
     return scored.select(*keep, vector_to_array("probability")[1].alias(alias))
 

@@ -1,9 +1,10 @@
 import threading
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scorewright.operators import risk as R, segments as G
+from scorewright.operators import forest, risk as R, segments as G
 from scorewright.operators.actions import recommend_actions
 from scorewright.operators.features import feature_matrix, minmax_scale
 from scorewright.plans import reports as P
@@ -204,3 +205,75 @@ def test_forest_applies_without_a_stored_copy(noisy, monkeypatch):
     assert not model.hasSummary
     again = {r["student_id"]: r["probability"] for r in R.predict(stored(model), noisy, ["attendance", "final_exam"]).collect()}
     assert again == {r["student_id"]: r["probability"] for r in R.predict(model, noisy, ["attendance", "final_exam"]).collect()}
+
+
+FEATURES = ["attendance", "final_exam"]
+
+
+def _shares(model, rows, features=FEATURES):
+    return {r["student_id"]: r["probability"] for r in R.predict(model, rows, features).collect()}
+
+
+def test_forest_of_many_rows_is_not_grown_by_passes(noisy, monkeypatch):
+    spark_s = R.train_forest(noisy, FEATURES, depth=8, entity="student_id")
+    monkeypatch.setattr(R, "FOREST_PASS_ROWS", 1000)
+    monkeypatch.setattr(R.RandomForestClassifier, "fit", lambda *a, **k: pytest.fail("a pass for each level"))
+    grown = R.train_forest(noisy, FEATURES, depth=8, entity="student_id")
+    assert grown.getNumTrees == R.FOREST_TREES
+    of, own = _shares(spark_s, noisy), _shares(grown, noisy)
+    assert own.keys() == of.keys() and sum(abs(own[k] - of[k]) for k in of) / len(of) < 0.05
+    assert sum((own[k] > 0.5) == (of[k] > 0.5) for k in of) > 0.98 * len(of)
+    assert [r["feature"] for r in R.feature_importance(grown, FEATURES).collect()] == FEATURES
+    assert max(abs(grown.featureImportances.toArray() - spark_s.featureImportances.toArray())) < 0.1
+
+
+def test_grown_forest_depends_neither_on_files_nor_on_tasks(noisy, monkeypatch):
+    monkeypatch.setattr(R, "FOREST_PASS_ROWS", 1000)
+    plain = R.train_forest(noisy.coalesce(1), FEATURES, entity="student_id")
+    want = _shares(plain, noisy)
+    for name, value in {"TASK_NODE_ROWS": 500, "SENT_NODES": 1000, "WAVE_BYTES": 500_000, "CHUNK_NODES": 7}.items():
+        monkeypatch.setattr(forest, name, value)
+    other = R.train_forest(noisy.repartition(5), FEATURES, entity="student_id")
+    assert len(other.turns()) > 1 and other.table.where("root > 1").count() > 100
+    got = _shares(other, noisy)
+    assert {k: round(p, 12) for k, p in got.items()} == {k: round(p, 12) for k, p in want.items()}
+    assert abs(other.featureImportances.toArray() - plain.featureImportances.toArray()).max() < 1e-9
+
+
+def test_trees_of_grown_forest_like_plain_trees(spark):
+    """Each tree against one that is grown row by row, node by node."""
+    rng = np.random.default_rng(5)
+    codes, w = rng.integers(0, 5, (4, 300)).astype(np.uint8), rng.integers(1, 4, 300).astype(np.uint8)
+    y = ((codes[0] > 2) ^ (rng.random(300) < 0.2)).astype(np.uint8)
+
+    def gini(rows):
+        n, one = w[rows].sum(), w[rows][y[rows] == 1].sum()
+        return 2 * one * (n - one) / n
+
+    def plain(node, rows):
+        one, n = w[rows][y[rows] == 1].sum(), w[rows].sum()
+        best = (1e-9, None, None)
+        for f in np.flatnonzero(forest._chosen(np.array([node]), 4, 42, 3)[0]) if node.bit_length() <= 6 else []:
+            for cut in range(4):
+                left = codes[f][rows] <= cut
+                if left.any() and not left.all() and gini(rows) - gini(rows[left]) - gini(rows[~left]) > best[0] + 1e-9:
+                    best = (gini(rows) - gini(rows[left]) - gini(rows[~left]), f, cut)
+        if best[1] is None:
+            return {node: (-1, one / n)}
+        left = codes[best[1]][rows] <= best[2]
+        out = plain(2 * node, rows[left]) | plain(2 * node + 1, rows[~left])
+        ends = [out[2 * node], out[2 * node + 1]]
+        if all(f < 0 for f, _ in ends) and (ends[0][1] > 0.5) == (ends[1][1] > 0.5):
+            return {node: (-1, one / n)}
+        return out | {node: (best[1], one / n)}
+
+    ids, feature, _, counts, _ = forest._subtree(codes + 32 * y, w, 1, 6, 42, 3)
+    want = plain(1, np.arange(300))
+    assert len(want) > 15 and {int(i): int(f) for i, f in zip(ids, feature)} == {k: int(f) for k, (f, _) in want.items()}
+    assert all(abs(c[1] / c.sum() - want[int(i)][1]) < 1e-12 for i, c in zip(ids, counts))
+
+
+def test_grown_forest_refuses_null_features(noisy, monkeypatch):
+    monkeypatch.setattr(R, "FOREST_PASS_ROWS", 1000)
+    with pytest.raises(Exception, match="null or NaN in feature"):
+        R.train_forest(noisy.withColumn("final_exam", F.expr("if(student_id = 'S7', null, final_exam)")), FEATURES)
