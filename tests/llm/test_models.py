@@ -197,3 +197,41 @@ def test_weak_rules_odd(odd_docs, odd_rows, no_docs):
     got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in weak_rules.judge(odd_docs).collect())
     assert got == Counter((i, *brute_counts(t)) for i, t in odd_rows)
     assert weak_rules.judge(no_docs).collect() == []
+
+
+def test_every_word_takes_part_in_the_search(spark):
+    """A text without a toxic word is searched too; its nearest are those of the whole vectors."""
+    rng = random.Random(3)
+    texts = [(i, f"{made_up(rng, 40)} {'sludge' if i % 4 == 0 else ''} {made_up(rng, 40)}", int(i % 4 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int")
+    voter = nearest_toxic.fit(docs, labels, 60)
+    assert "sludge" in voter.idf
+    words = {i: Counter(t.split()) for i, t, _ in texts}
+    seen = Counter(w for c in words.values() for w in c)
+    idf = {w: (np.log(401 / (1 + n)) + 1) * (nearest_toxic.RAISED if w in voter.idf else 1.0) for w, n in seen.items()}
+
+    def unit(counts):
+        raw = {w: (1 + np.log(n)) * idf[w] for w, n in counts.items() if w in voter.number}
+        return {w: x / sum(y * y for y in raw.values()) ** 0.5 for w, x in raw.items()}
+
+    examples = {i: unit(words[i]) for i in voter.ids}
+    assert set(voter.number) == {w for i in voter.ids for w in words[i]}
+    found = {r.doc_id: r for r in nearest_toxic.score_toxicity(docs, labels, 60).collect()}
+    for i in words:
+        mine = unit(words[i])
+        near = sorted(((-round(sum(x * examples[e].get(w, 0.0) for w, x in mine.items()), 9), e) for e in examples))[:nearest_toxic.EVIDENCE]
+        assert len(found[i].evidence) == nearest_toxic.EVIDENCE and set(found[i].evidence) == {e for _, e in near}
+
+
+def test_search_of_several_texts_is_exact():
+    rng = random.Random(8)
+    vectors = [{t: rng.random() for t in rng.sample(range(30), 6)} | {100 + rng.randrange(400): 3.0} for _ in range(900)]
+    index = nearest_toxic.BlockMaxIndex(vectors, block=16)
+    assert len(index.dense) == 30
+    queries = vectors[:70] + [{}, {999: 1.0}]
+    rows = [sorted((index.row[t], w) for t, w in q.items() if t in index.row) for q in queries]
+    got = index.nearest([(np.array([r for r, _ in q], np.int64), np.array([w for _, w in q], np.float64)) for q in rows], 15)
+    for query, found in zip(queries, got):
+        sums = sorted((-round(sum(w * v.get(t, 0.0) for t, w in query.items()), 12), i) for i, v in enumerate(vectors))
+        assert [round(s, 9) for s, _ in found] == [round(-s, 9) for s, _ in sums[:15] if s < 0]
